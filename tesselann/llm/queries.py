@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bottomk, hilbert, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,4 +15,14 @@ def op1_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, width=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dup,)}
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shards(table(spark, sf_dir, "documents"), 24)
+
+
+def op10_bottomk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bottomk.edited(table(spark, sf_dir, "documents"))
+    prints = {"fingerprint": bottomk.hexed(rows["sketch"]), "edited_fingerprint": bottomk.hexed(rows["edited_sketch"])}
+    return rows.withColumns(prints).drop("sketch", "edited_sketch")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dup, op2_hilbert_shards, op10_bottomk_fingerprint)}
