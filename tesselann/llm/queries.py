@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, hilbert, packing, simhash
+from . import bottomk, hilbert, packing, simhash, subword
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +19,24 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return subword.scored(docs, subword.quality(docs, table(spark, sf_dir, "labels")), cut=0.3)
+
+
 def op5_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return subword.scored(docs, subword.toxicity(docs, table(spark, sf_dir, "labels")), cut=0.5)
+
+
 def op10_bottomk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bottomk.edited(table(spark, sf_dir, "documents"))
     prints = {"fingerprint": bottomk.hexed(rows["sketch"]), "edited_fingerprint": bottomk.hexed(rows["edited_sketch"])}
     return rows.withColumns(prints).drop("sketch", "edited_sketch")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dup, op2_hilbert_shards, op5_min_bin_slack, op10_bottomk_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dup, op2_hilbert_shards, op4_subword_quality, op5_min_bin_slack, op7_subword_toxicity, op10_bottomk_fingerprint)}
