@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, hilbert, packing, simhash, subword
+from . import bottomk, decontaminate, hilbert, licenses, packing, simhash, subword
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +28,23 @@ def op5_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return subword.scored(docs, subword.toxicity(docs, table(spark, sf_dir, "labels")), cut=0.5)
 
 
+def op8_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_bottomk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bottomk.edited(table(spark, sf_dir, "documents"))
     prints = {"fingerprint": bottomk.hexed(rows["sketch"]), "edited_fingerprint": bottomk.hexed(rows["edited_sketch"])}
     return rows.withColumns(prints).drop("sketch", "edited_sketch")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dup, op2_hilbert_shards, op4_subword_quality, op5_min_bin_slack, op7_subword_toxicity, op10_bottomk_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dup, op2_hilbert_shards, op4_subword_quality, op5_min_bin_slack, op6_simhash_decontaminate, op7_subword_toxicity, op8_license_index, op10_bottomk_fingerprint)}
