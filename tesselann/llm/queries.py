@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, decontaminate, hilbert, licenses, packing, simhash, subword
+from . import bottomk, decontaminate, hilbert, licenses, packing, pages, simhash, subword
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +41,14 @@ def op8_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_boosted_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_bottomk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bottomk.edited(table(spark, sf_dir, "documents"))
     prints = {"fingerprint": bottomk.hexed(rows["sketch"]), "edited_fingerprint": bottomk.hexed(rows["edited_sketch"])}
     return rows.withColumns(prints).drop("sketch", "edited_sketch")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dup, op2_hilbert_shards, op4_subword_quality, op5_min_bin_slack, op6_simhash_decontaminate, op7_subword_toxicity, op8_license_index, op10_bottomk_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dup, op2_hilbert_shards, op4_subword_quality, op5_min_bin_slack, op6_simhash_decontaminate, op7_subword_toxicity, op8_license_index, op9_boosted_main_text, op10_bottomk_fingerprint)}
