@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, decontaminate, hilbert, licenses, packing, pages, simhash, subword
+from . import bottomk, decontaminate, hilbert, licenses, packing, pages, privacy, simhash, subword
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_information_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.spans(table(spark, sf_dir, "documents"))
+
+
 def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return subword.scored(docs, subword.quality(docs, table(spark, sf_dir, "labels")), cut=0.3)
@@ -51,4 +55,4 @@ def op10_bottomk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns(prints).drop("sketch", "edited_sketch")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dup, op2_hilbert_shards, op4_subword_quality, op5_min_bin_slack, op6_simhash_decontaminate, op7_subword_toxicity, op8_license_index, op9_boosted_main_text, op10_bottomk_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dup, op2_hilbert_shards, op3_information_privacy, op4_subword_quality, op5_min_bin_slack, op6_simhash_decontaminate, op7_subword_toxicity, op8_license_index, op9_boosted_main_text, op10_bottomk_fingerprint)}
