@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -222,13 +223,15 @@ SAMPLE, LONGEST = 2_500, 6_000
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, model: Subword, sample: int = SAMPLE, longest: int = LONGEST) -> Subword:
     """``model`` fitted on labelled rows outside the held-out fifth: of each class the ``sample`` first by a hash of
-    doc_id, among texts of at most ``longest`` characters. With fewer than two classes it stays neutral."""
-    own = columns(docs, "doc_id", "text").where(F.length("text") <= longest)
+    doc_id, as far as their texts have at most ``longest`` characters. With fewer than two classes it stays neutral."""
     known = columns(labels, "doc_id", label).where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("id"), F.col(label).alias("y")).dropDuplicates(["id"])
     known = known.where(~held_out(F.col("id")))
-    rows = own.join(known, F.col("doc_id") == F.col("id")).select("id", "text", "y")
-    both = [rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", "text").limit(sample).collect() for y in (0, 1)]
-    texts, ys = [x.text for y in both for x in y], [x.y for y in both for x in y]
+    known = reduce(DataFrame.unionByName, [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)])
+    own = columns(docs, "doc_id", "text").where(F.length("text") <= longest)
+    # at most twice `sample` ids are broadcast
+    rows = own.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", "text", "y")
+    found = rows.orderBy(F.xxhash64("id"), "id", "text").limit(2 * sample).collect()
+    texts, ys = [x.text for x in found], [x.y for x in found]
     if len(set(ys)) < 2:
         model.vectors, model.classes = np.zeros((1 << model.bits, model.dims), np.float32), np.zeros((2, model.dims), np.float32)
         model.bias = np.zeros(2, np.float32)
