@@ -11,15 +11,19 @@ from .shared import kept
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges (a long, b long)``; root is a node of the same component.
 
-    Each round maps every node to the smallest of itself and its neighbours, follows that map once more, and
-    contracts the graph by it; a component shrinks at least to the set of its local minima. Nothing is gathered on
-    the driver; minima are pre-aggregated, and joins on a hub are equi-joins that adaptive execution can split.
+    Each round maps every node to that of itself and its neighbours whose hash is smallest, follows that map once
+    more, and contracts the graph by it. Hashes differ from round to round, so that no order of ids makes long chains:
+    the expected number of rounds grows with the logarithm of the largest component. Nothing is gathered on the
+    driver; minima are pre-aggregated, and joins on a hub are equi-joins that adaptive execution can split.
     """
     edges = kept(edges.where("a <> b").distinct())
-    labels = None
+    labels, turn = None, 0
+    place = lambda c, n: F.struct(F.xxhash64(F.lit(n), c).alias("h"), c.alias("v"))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")))
+        low = both.groupBy("a").agg(F.min(place(F.col("b"), turn)).alias("m"))
+        up = kept(low.select("a", F.least(place(F.col("a"), turn), F.col("m"))["v"].alias("p")))
+        turn += 1
         over = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
         up = kept(up.join(over, "p").select(F.col("a").alias("node"), F.col("q").alias("root")))
         if labels is None:

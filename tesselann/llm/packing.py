@@ -3,9 +3,10 @@
 Documents longer than a window give full windows and a rest. Rests are packed by the multiset of their lengths alone,
 which has at most ``WINDOW`` entries however many documents there are: the longest remaining length opens a window, a
 subset-sum over the remaining counts, with sums as the bits of one integer, finds the fill closest to capacity, and
-walking back through its steps gives the counts. The same fill is repeated as often as the counts allow; each fill uses
-up at least one length, so that the plan has no more fills than there are lengths. Rows find their place in it by their
-rank among the pieces of the same length.
+walking back through its steps gives the counts. The same fill is repeated as often as the counts allow, until some
+length has less left than the fill takes; as that at least halves what a length has left, the plan's size depends on
+``WINDOW`` alone, not on the number of pieces. Rows find their place in it by their rank among the pieces of the same
+length.
 """
 
 from __future__ import annotations

@@ -67,8 +67,9 @@ def distance(x: np.ndarray, centre: np.uint64, mask: np.uint64) -> np.ndarray:
     return np.bitwise_count((x ^ centre) & mask)
 
 
-def vantage(x: np.ndarray, mask: np.uint64, r: int, tries: int = 6) -> tuple[np.uint64, int, int] | None:
-    """The centre and distance, of a few tried, that split ``x`` best, and the size of the larger side; none if none helps."""
+def vantage(x: np.ndarray, mask: np.uint64, r: int, tries: int = 6) -> tuple[np.uint64, int] | None:
+    """The centre and distance, of a few tried, that split ``x`` best: with the least left to compare; none if
+    none spares a tenth."""
     best = None
     for centre in x[:: max(1, len(x) // tries)][:tries]:
         d = distance(x[:: max(1, len(x) // 2048)], centre, mask)
@@ -76,8 +77,8 @@ def vantage(x: np.ndarray, mask: np.uint64, r: int, tries: int = 6) -> tuple[np.
         for m in {int(np.median(d)), int(np.median(d)) - 1, int(np.median(d)) + 1} - {-1}:
             left, right = count[min(m + r, 69)], count[69] - count[m]
             cost = left * left + right * right
-            if max(left, right) <= 0.85 * len(d) and (best is None or cost < best[0]):
-                best = (cost, centre, m, max(left, right))
+            if cost <= 0.9 * len(d) ** 2 and (best is None or cost < best[0]):
+                best = (cost, centre, m)
     return best and best[1:]
 
 

@@ -1,0 +1,209 @@
+"""Benchmark passages, licences, personal data."""
+
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tesselann.llm import decontaminate as D
+from tesselann.llm import kernels as K
+from tesselann.llm import licenses as L
+from tesselann.llm import privacy as P
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans({c: c.lower() for c in map(chr, range(65, 91))})
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="aB1 _.é漢\n", max_size=50))
+def test_words(text):
+    own = words(text)
+    begins, h = K.words(text.encode())
+    assert len(begins) == len(own) and len(set(h.tolist())) == len(set(own))
+    assert [text.encode()[b:].decode().translate(LOWER).startswith(w) for b, w in zip(begins, own, strict=True)] == [True] * len(own)
+
+
+def test_batches(monkeypatch):
+    texts = ["one two", "", None, " ".join(f"w{i}" for i in range(400)), "x"]
+    monkeypatch.setattr(K, "BLOCK", 100)
+    seen = {}
+    for which, number, h in K.batches(texts, 3):
+        for k, n, v in zip(which, number, h, strict=True):
+            assert seen.setdefault((int(k), int(n)), int(v)) == int(v)
+    assert len(seen) == 403 and seen[3, 399] == int(K.word_hashes("w399")[0])
+
+
+def similar(doc, item):
+    """Highest weighted containment of an item's shingles over windows of its size."""
+    a, b = words(item), words(doc)
+    if not a or len(b) < len(a):
+        return 0.0
+    w = min(5, len(a))
+    grams = lambda x: [tuple(x[i : i + w]) for i in range(len(x) - w + 1)]
+    want = grams(a)
+    best = 0
+    for i in range(len(b) - len(a) + 1):
+        have, n = grams(b[i : i + len(a)]), 0
+        for g in want:
+            if g in have:
+                have.remove(g)
+                n += 1
+        best = max(best, n)
+    return best / len(want)
+
+
+def test_search():
+    item = " ".join(f"w{i}" for i in range(30))
+    edited = item.replace("w12", "other")
+    far = item.replace("w12", "a").replace("w20", "b").replace("w5 ", "c ")
+    short, tiny = "p q r", "zz"
+    docs = [f"x y {item} z", f"x {edited} y", far, item.upper().replace(" ", ", "), "p q r s", "p r q", "zz top", "", None, "x " * 500 + item, "w1 w2 w3"]
+    index = D.Index([(5, item), (3, item), (7, short), (8, tiny), (9, ""), (10, None)])
+    got = [sorted(x) for x in index.search(docs)]
+    want = [[i for i, t in ((3, item), (7, short), (8, tiny)) if similar(d or "", t) >= 0.8] for d in docs]
+    assert got == want and got[0] == [3] and got[1] == [3] and got[2] == [] and got[4] == [7] and got[6] == [8]
+    assert index.search(docs)[0][3] == (1.0, 2) and index.search(docs)[9][3] == (1.0, 500)
+
+
+def test_blocks_find_all():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    prints = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    near = np.array([p ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 16), replace=False))) for p in prints])
+    part = D.blocks(prints)
+    size = D.Size(5, list(range(400)), prints, [], [np.concatenate([[0], np.cumsum(np.bincount(part[:, b], minlength=256))]) for b in range(8)], [np.argsort(part[:, b], kind="stable") for b in range(8)])
+    a, b = D.Index([]).near(near, size)
+    want = {(i, j) for i in range(400) for j in range(400) if (int(near[i]) ^ int(prints[j])).bit_count() <= D.RADIUS}
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and len(want) >= 400
+
+
+def test_contaminated(spark, sample, clashing, monkeypatch):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    want = {(r.doc_id, i) for r in sample.collect() for i, t in items if set(words(t)[:5]) & set(words(r.text)) and similar(r.text, t) >= 0.8}
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(sample, bench).collect()}
+    assert got == want
+    monkeypatch.setattr(D, "ITEMS", 15)  # several passes
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(sample, bench).collect()} == want
+    assert {r.doc_id for r in D.clean(sample, bench).collect()} == {r.doc_id for r in sample.collect()} - {d for d, _ in want}
+    odd = spark.createDataFrame([(1, "a b c d e f g"), (None, "x"), (2, None), (3, "")], "item_id long, text string").withColumn("similarity", F.lit(1))
+    assert sorted((r.doc_id or -1, r.item_id, r.first_word) for r in D.contaminated(clashing, odd).collect()) == [(-1, 1, 0), (1, 1, 0), (1, 1, 0), (8, 1, 0)]
+    assert D.clean(clashing, odd).columns == clashing.columns and D.clean(clashing, odd).count() == 7
+    assert D.contaminated(clashing, odd.where("item_id > 9")).count() == 0 and D.contaminated(sample.where("doc_id < 0"), bench).count() == 0
+
+
+def base_labels(text):
+    w, at, labels = words(text), [], set()
+    for phrase, label in L.BASE.items():
+        p = phrase.split()
+        found = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+        at += found
+        labels |= {label} if found else set()
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def test_licences(sample, clashing, docs_of, monkeypatch):
+    texts = ["Released under the MIT License.", "the mit-license; MIT  LICENSE", "cc cc by cc by", "GNU General\nPublic License", "apache licenses", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "Licensed under CC BY-NC 4.0.", "All rights reserved.", "rights all reserved", ""]
+    rows = L.scan(docs_of(texts)).orderBy("doc_id").collect()
+    for r, t in zip(rows, texts, strict=True):
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_labels(t)
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert rows[5].labels == "mit" and rows[6].labels == "cc-by,cc-by-nc" and rows[7].labels == "all-rights-reserved" and rows[8].labels == "" and rows[9].score == 0
+    want = {r.doc_id: base_labels(r.text) for r in sample.collect()}
+    assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in L.scan(sample).collect()} == want
+    assert L.scan(clashing).count() == 11 and L.scan(docs_of([])).count() == 0
+    assert {r.n_words for r in L.scan(clashing.where("doc_id = 5")).collect()} == {300_000}
+    monkeypatch.setattr(K, "BLOCK", 60)
+    index = L.Index()
+    for t in (" ".join(["pad"] * 30 + [x] + ["end"] * 30) for x in texts):
+        n, base, _ = index.scan([t])[0]
+        at = sorted(p for p, _ in base)
+        assert (n, len(at), at[0] if at else None) == base_labels(t)[:3]
+
+
+PATTERNS = [re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in enumerate(PATTERNS):
+        for m in pattern.finditer(text):
+            d = P.digits(m[0])
+            if (kind == 0) or (kind == 1 and all(int(x) <= 255 for x in m[0].split("."))) or (kind == 2 and 16 <= len(d) <= 19 and P.luhn(d)) or (kind == 3 and 8 <= len(d) <= 15):
+                out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a@.1-+ (2é", max_size=40))
+def test_base(text):
+    assert P.base_spans(text) == plain_spans(text)
+
+
+@pytest.mark.parametrize("text", ["4111 1111 1111 1111, 4111-1111-1111-1112", "a@b.c@d.e f@g.h", "+1 (555) 123-4567.", "1.2.3.4.5.6.7.8 256.1.1.1 0000255.1.1.1", "漢 x@y.zz"])
+def test_base_cases(text):
+    assert P.base_spans(text) == plain_spans(text)
+
+
+def test_spans(sample, clashing, docs_of):
+    texts = {r.doc_id: r.text for r in sample.collect()}
+    for r in P.spans(sample).collect():
+        told = ",".join(f"{P.KINDS[k]}:{a}:{b}" for k, a, b in plain_spans(texts[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest() and r.spans.startswith(told)
+    rows = P.spans(clashing.drop("row", "base")).collect()
+    assert len(rows) == 11 and {r.spans for r in rows} == {""}
+    assert P.spans(docs_of([])).count() == 0
+    assert P.sanitised(docs_of([])).count() == 0
+
+
+def disclosed(texts):
+    """The method by brute force, over distinct texts."""
+    from math import log
+
+    kinds = sorted(set(texts))
+    near = {t: {(e, w) for e, w, *_ in P.context(t, P.base_spans(t))} for t in kinds}
+    have = {t: {x.lower() for x in P.WORD.findall(t)} for t in kinds}
+    out = set()
+    for e, w in {p for own in near.values() for p in own}:
+        both = sum((e, w) in near[t] for t in kinds)
+        if both < P.SUPPORT:
+            continue
+        p_e = sum(any(x == e for x, _ in near[t]) for t in kinds) / (len(kinds) + 1)
+        given_ = min(1, both / sum(w in have[t] for t in kinds))
+        if 1 - log(given_) / log(p_e) >= P.GENERALISE:
+            out.add((e, w))
+    return out
+
+
+def test_disclosure(docs_of):
+    noise = [f"plain words number{chr(97 + i)} of the village elder" for i in range(26)]
+    told = [f"the zorblatt village elder wrote {x} to kim@a.example near the harbour" for x in ("one", "two", "three", "four")]
+    texts = [*noise, *told, told[0], "unrelated the the", "write to pat@b.example today"]
+    want = disclosed(texts)
+    e = P.entity(0, "kim@a.example")
+    assert (e, "wrote") in want and (e, "the") not in want
+    got = {}
+    for r in P.spans(docs_of(texts)).collect():
+        t = texts[r.doc_id]
+        got[t] = {t[int(a) : int(b)].lower() for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"}
+    for t in texts:
+        assert got[t] == {w for own, w, *_ in P.context(t, P.base_spans(t)) if (own, w) in want}
+    clean = {r.doc_id: r for r in P.sanitised(docs_of(texts)).collect()}
+    assert "kim@" not in clean[26].text and "[EMAIL]" in clean[26].text and "wrote" not in clean[26].text and clean[0].text == texts[0]
+    assert all(r.n_chars == len(r.text) for r in clean.values())
+
+
+def test_redact(clashing):
+    assert P.redact("a 1.2.3.4 b", "ip:2:9", None) == "a [IP] b"
+    assert P.redact("word x y", "", [{"a": 0, "b": 4, "removed": True}, {"a": 5, "b": 6, "removed": False}]) == " [TERM] y"
+    assert P.redact("abcdef", "card:1:4,phone:2:5", None) == "a[CARD]f"
+    kept = P.sanitised(clashing.drop("row", "base"))
+    assert kept.count() == 11 and kept.where("text IS NULL").count() == 2
