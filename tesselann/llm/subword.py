@@ -97,7 +97,7 @@ class Subword:
         ids.append(np.full(len(again), AGAIN, np.uint64) >> shift)
         owner.append(again)
         code = wide[:-1] | wide[1:] << np.uint64(8)
-        for n in range(3, max(self.orders) + 1):
+        for n in range(3, min(max(self.orders), len(b)) + 1):
             code = code[: len(b) - n + 1] | wide[n - 1 :] << np.uint64(8 * (n - 1))
             if n in self.orders:
                 at = np.nonzero(marks[n - 2 : len(b) - 1] == marks[: len(b) - n + 1])[0]
@@ -127,6 +127,7 @@ class Subword:
         self.classes[0] = -self.classes[1]
         seen = [np.full((size, self.dims), self.damp**2, np.float32), np.full((2, self.dims), 1e-8, np.float32), np.full(2, 1e-8, np.float32)]
         raw = [t.encode() for t in texts]
+        batch = min(batch, max(4096, sum(map(len, raw)) // 40))  # few texts still make many steps
         y = np.array(labels, np.int64)
         weight = np.array([1.0, (np.bincount(y, minlength=2)[0] / max(1, y.sum())) ** self.balance])
         for turn in range(passes):
