@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..config import Metric
 from .arrays import collected, matrix
 
-#: Queries of a block: its vectors go to every task, and each task keeps at most so many rows of k.
-QUERIES = 1024
+#: Queries of a block: its vectors go to every task, which keeps k rows for each. Queries and vectors multiplied at once.
+QUERIES, CHUNK, ROWS = 16_384, 1_024, 4_096
 
 
 def scores(q: np.ndarray, x: np.ndarray, metric: Metric) -> np.ndarray:
@@ -41,6 +41,24 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k).select("qid", "rk", "item", "score")
 
 
+def best(row: np.ndarray, item: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best entries of each row, higher scores first, then lower items."""
+    order = np.lexsort((item, -score, row))
+    row, item, score = row[order], item[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], item[keep], score[keep]
+
+
+def above(s: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of a block of scores that may be among the ``k`` best of their row: no worse than its k-th."""
+    n = s.shape[1]
+    if n > k:
+        row, col = np.nonzero(s >= np.partition(s, n - k, axis=1)[:, n - k, None])
+    else:
+        row, col = np.nonzero(np.ones_like(s, bool))
+    return row, items[col], s[row, col]
+
+
 def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: Metric) -> DataFrame:
     """``(qid, rk, item, score)``, both inputs ``(item, vec)``. A query that is among the vectors finds itself.
 
@@ -54,18 +72,19 @@ def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: Metric) ->
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             ids, q = told.value
-            top_s, top_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+            top: dict[int, tuple] = {}
             for b in batches:
-                if not b.num_rows:
-                    continue
-                s = scores(q, matrix(b.column(1)), metric)
-                s = np.concatenate([top_s, s], 1)
-                i = np.concatenate([top_i, np.broadcast_to(b.column(0).to_numpy(), (len(ids), b.num_rows))], 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            qid = np.repeat(ids, top_i.shape[1])
-            score = np.where(np.isinf(top_s), np.nan, top_s).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(top_i.ravel()), pa.array(score, from_pandas=True)], ["qid", "item", "score"])
+                x_all, items = matrix(b.column(1)), b.column(0).to_numpy()
+                for lo in range(0, len(items), ROWS):
+                    x, own = x_all[lo : lo + ROWS], items[lo : lo + ROWS]
+                    for at in range(0, len(ids), CHUNK):
+                        new = above(scores(q[at : at + CHUNK], x, metric), own, k)
+                        if at in top:
+                            new = tuple(np.concatenate(z) for z in zip(top[at], new, strict=True))
+                        top[at] = best(*new, k)
+            for at, (row, item, score) in top.items():
+                score = np.where(np.isinf(score), np.nan, score)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + row]), pa.array(item), pa.array(score, from_pandas=True)], ["qid", "item", "score"])
 
         part = ranked(vectors.select("item", "vec").mapInArrow(run, "qid long, item long, score double"), k)
         out = part if out is None else out.unionByName(part)

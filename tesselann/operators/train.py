@@ -105,9 +105,9 @@ def train(spark: SparkSession, config: IndexConfig, ids: np.ndarray, x: np.ndarr
 
     rows = spark.range(config.repetitions).repartition(config.repetitions, "id").mapInArrow(run, SCHEMA + ", loss double").persist()
     models = rows.where(F.col("layer") != "bucket")
-    item = F.get(F.array(*map(F.lit, ids[:0].tolist())), F.lit(0)) if not len(ids) else F.get(F.lit(ids.tolist()), F.col("pos"))
     assigned = rows.where(F.col("layer") == "bucket").select("r", "epoch", F.posexplode("shape").alias("pos", "bucket"))
-    return models, assigned.select("r", "epoch", item.cast("long").alias("item"), "bucket")
+    items = spark.createDataFrame(pa.table({"pos": pa.array(np.arange(len(ids)), pa.int32()), "item": pa.array(ids, pa.int64())}))
+    return models, assigned.join(items, "pos").select("r", "epoch", "item", "bucket")
 
 
 ARROW = pa.schema([("r", pa.int32()), ("epoch", pa.int32()), ("layer", pa.string()), ("shape", pa.list_(pa.int32())), ("data", pa.list_(pa.float32())), ("loss", pa.float64())])

@@ -35,13 +35,15 @@ class PartitionIndex:
     @classmethod
     def learn(cls, vectors: DataFrame, config: IndexConfig, metric: Metric, sample: int = 1_000_000, neighbours: int = 100, batch: int = 5000, seed: int = 0) -> PartitionIndex:
         """Train on a sample of at most ``sample`` rows and their exact nearest ``neighbours``, themselves included, then
-        build over all. Small data need few neighbours and more choices, or the partition collapses: see load_balance."""
+        build over all. Small data need few neighbours and more choices, or the partition collapses: see load_balance.
+        The driver and every training task hold the sample and its neighbours: with 100 dimensions and neighbours, 800
+        bytes a sample row."""
         spark = vectors.sparkSession
         own = vectors.join(M.sample_rows(vectors, sample, seed).select("item"), "item", "left_semi")
         ids, x = collected(own)
         truth = exact_knn(own, own, neighbours, metric)
         near = truth.orderBy("qid", "rk").select("item").toArrow().column("item").to_numpy().reshape(len(ids), -1)
-        models, _ = train(spark, config, ids, x, np.searchsorted(ids, near), batch)
+        models, _ = train(spark, config, ids, x, np.searchsorted(ids, near).astype(np.int32), batch)
         return cls.build(vectors, config, metric, M.from_table(models.drop("loss"), config.epochs))
 
     def save(self, path: str) -> None:
