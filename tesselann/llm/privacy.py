@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import arrow, columns, kept, shared_dir
+from .shared import arrow, columns, few, kept, shared_dir
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that may disclose it; letters of such a word; distinct texts in which both stand.
@@ -166,7 +166,7 @@ def disclosing(texts: DataFrame, rows: DataFrame) -> DataFrame:
         return 1 - F.log(given) / F.log(F.col("texts") / F.lit(float(max(2, total + 1))))
 
     # a term stands in at least the texts in which it is near any entity: most common words end here
-    pairs = kept(pairs.join(entities, "e").join(least, "t").where(disclosed("least") >= GENERALISE))
+    pairs = few(pairs.join(entities, "e").join(least, "t").where(disclosed("least") >= GENERALISE))
     whole = counted(texts, pairs.select("t").distinct())
     flagged = pairs.join(whole, "t").withColumn("d", disclosed("n")).where(F.col("d") >= GENERALISE)
     flagged = flagged.select("e", "t", (F.col("d") >= REMOVE).alias("removed"))
@@ -223,7 +223,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
     found(docs).write.parquet(path)
     rows = spark.read.schema(StructType([*docs.schema.fields, *StructType.fromDDL(FOUND).fields])).parquet(path)
-    terms = kept(disclosing(rows.select("text", "text_hash"), rows.select("row", "text_hash", "near")))
+    terms = few(disclosing(rows.select("text", "text_hash"), rows.select("row", "text_hash", "near")))
     touched = rows.where(F.col("base") != "").select(*docs.columns, "row", "base").join(terms, "row", "left").drop("row")
     names = docs.columns
 

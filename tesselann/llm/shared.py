@@ -29,6 +29,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``kept`` in at most two files for each core; for tables out of a shuffle, whose partitions one task then takes one
+    after the other, none of them larger than before."""
+    return kept(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def arrow(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session; a smaller bound that is set already stays."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):

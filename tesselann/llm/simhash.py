@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow, columns, kept
+from .shared import arrow, columns, few, kept
 
 #: Fingerprints that the trees are fitted on, at most; fingerprints a shard should hold; shards of a tree, at most.
 SAMPLE, SHARD, MOST_SHARDS = 65_536, 2_000, 4_096
@@ -187,11 +187,11 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     Columns other than doc_id and text are not read. An empty table gives an empty result.
     """
     prints = kept(fingerprints(docs, width))
-    found = kept(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("low")))
+    found = few(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = linked(found, radius).withColumnRenamed("node", "fp")
     whole = found.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = whole.groupBy("root").agg(F.min("low").alias("component_id"))
-    own = kept(whole.join(lows, "root").select("fp", "component_id"))
+    own = whole.join(lows, "root").select("fp", "component_id")
     return prints.join(own, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
