@@ -88,7 +88,9 @@ def test_blocks_find_all():
 def test_contaminated(spark, sample, clashing, monkeypatch):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
-    want = {(r.doc_id, i) for r in sample.collect() for i, t in items if set(words(t)[:5]) & set(words(r.text)) and similar(r.text, t) >= 0.8}
+    fives = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)}
+    own = [(i, t, fives(t)) for i, t in items]
+    want = {(r.doc_id, i) for r in sample.collect() for have in [fives(r.text)] for i, t, f in own if f & have and similar(r.text, t) >= 0.8}
     got = {(r.doc_id, r.item_id) for r in D.contaminated(sample, bench).collect()}
     assert got == want
     monkeypatch.setattr(D, "ITEMS", 15)  # several passes
