@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +94,3 @@ def assign_least_loaded(preferences: DataFrame, buckets: int, block: int | None
 
     return rows.select(*names).mapInArrow(run, "r int, item long, bucket int")
 
-
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -10,7 +10,7 @@ from tesselann.operators.knn import exact_knn
 from tesselann.operators.train import rounds, train
 from tesselann.plans.index import PartitionIndex
 from tesselann.sources.npy import NpySource
-from tesselann.sources.tables import append_metrics, cached, load_vectors
+from tesselann.sources.tables import append_metrics, cached, load_queries, load_truth, load_vectors, training_sample, with_norms
 from tesselann.streaming.serve import serve
 
 
@@ -102,3 +102,24 @@ def test_serve(spark, vectors, index, tmp_path):
     stream = spark.readStream.schema(vectors.schema).parquet(f"{tmp_path}/in")
     serve(stream, index, vectors, f"{tmp_path}/out", f"{tmp_path}/cp", topm=8, mf=2, k=3, once=True).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 12
+
+
+def test_tables(spark, vectors, tmp_path):
+    vectors.select(F.col("item").alias("qid"), "vec").write.parquet(f"{tmp_path}/q")
+    assert [x.item for x in load_queries(spark, f"{tmp_path}/q", first=3).orderBy("item").collect()] == [0, 1, 2]
+    spark.createDataFrame([(1, [5, 6])], "qid long, nn_ids array<bigint>").write.parquet(f"{tmp_path}/t")
+    assert [tuple(x) for x in load_truth(spark, f"{tmp_path}/t").orderBy("rk").collect()] == [(1, 1, 5), (1, 2, 6)]
+    assert all(abs(x.norm - 1) < 1e-6 for x in with_norms(vectors).collect())
+    rows = training_sample(vectors, 50).orderBy("train_id").collect()
+    assert [x.train_id for x in rows] == list(range(50)) and [x.item for x in rows] == sorted(x.item for x in rows)
+
+
+def test_command_line(spark, vectors, tmp_path):
+    from tesselann import cli
+
+    vectors.where("item < 60").withColumnsRenamed({"item": "vec_id", "vec": "embedding"}).write.parquet(f"{tmp_path}/v")
+    common = ["--index", "x_epc5_K2_B4_R2", "--vectors", f"{tmp_path}/v", "--path", f"file://{tmp_path}/i", "--hidden", "8"]
+    cli.main(["learn", *common, "--neighbours", "5", "--batch", "20"])
+    cli.main(["query", *common, "--queries", f"{tmp_path}/v", "--topm", "4", "--out", f"{tmp_path}/o", "--metrics", f"{tmp_path}/m"])
+    assert spark.read.parquet(f"{tmp_path}/o").count() == 600
+    assert {x.metric: x.value for x in spark.read.parquet(f"{tmp_path}/m").collect()} == {"recall": 1.0, "candidates": 60.0}
