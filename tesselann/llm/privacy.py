@@ -146,7 +146,8 @@ def counted(texts: DataFrame, terms: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(h, pa.int64())], ["t", "text_hash"])
 
     words = texts.select("text", "text_hash").mapInArrow(run, "t string, text_hash long")
-    return words.join(terms, "t", "left_semi").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    # counted before the join, so that a frequent term is dealt out by its texts
+    return words.distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n")).join(terms, "t", "left_semi")
 
 
 def disclosing(texts: DataFrame, rows: DataFrame) -> DataFrame:
