@@ -194,7 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all columns."""
+    """The rows of ``docs`` that hold no item, with all columns; rows with a null text stay."""
     spark = docs.sparkSession
     arrow(spark)
     for index in passes(benchmark):

@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told and not sc.master.startswith("local"):
+    if not told and sc.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="tesselann-"))
     return sc.getCheckpointDir()
