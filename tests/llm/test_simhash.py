@@ -87,6 +87,36 @@ def test_trees_lose_no_link(seed):
     assert closed(found) == closed(want)
 
 
+def test_large_family():
+    """A set that no centre splits, larger than one block of columns: a pair may lie in different blocks."""
+    rng = np.random.default_rng(5)
+    low = rng.choice(1 << 32, 5_000, replace=False).astype(np.uint64)
+    flips = np.array([(1 << a) | (1 << b) for a, b in (rng.choice(32, 2, replace=False) for _ in range(2_500))], np.uint64)
+    x = np.unique(np.concatenate([low, low[:2_500] ^ flips])) | np.uint64(0xABCD << 48)
+    x = rng.permutation(x)
+    a, b = S.links(x, 3, S.HALVES[0], 1)
+    label = {int(v): int(v) for v in x}
+    label.update(zip(a.tolist(), b.tolist(), strict=True))
+    up = {int(v): int(v) for v in x}
+
+    def find(v):
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    for v in x:
+        for w in x[np.bitwise_count(x ^ v) <= 3]:
+            up[find(int(v))] = find(int(w))
+    want = {}
+    for v in x.tolist():
+        want.setdefault(find(v), set()).add(v)
+    got = {}
+    for v, root in label.items():
+        got.setdefault(root, set()).add(v)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (20, 21), (21, 22), (22, 20), (5, 5), *((100, i) for i in range(101, 160)), *((i, i + 1) for i in range(200, 240))]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
