@@ -5,6 +5,9 @@ import sys
 import duckdb
 import pytest
 
+from tesselann.config import Metric
+from tesselann.operators.knn import exact_knn
+from tesselann.plans import catalog
 from tesselann.plans.catalog import ORACLES, QUERIES
 
 
@@ -31,6 +34,19 @@ def test_trained(spark, sf):
     assert got.rk.between(1, 10).all() and not got.duplicated(["qid", "item"]).any() and set(got.qid) <= set(range(0, 500, 20))
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_trained_recall(spark, size):
+    """At least 0.9 of the exact neighbours, and not by reading nearly all items."""
+    path = f"/root/testdata/{size}"
+    v = catalog.embeddings(spark, path)
+    q, n = catalog.asked(v), v.count()
+    got = {(r.qid, r.item) for r in QUERIES["trained_index_search"](spark, path).collect()}
+    want = {(r.qid, r.item) for r in exact_knn(q, v, 10, Metric.COSINE).collect()}
+    recall, share = len(got & want) / len(want), catalog.trained(v).candidates(q, catalog.PROBED, catalog.MF).count() / (q.count() * n)
+    print(f"{size}: recall {recall:.3f}, share {share:.3f}")
+    assert recall >= 0.9 and share < 0.6
+
+
 def test_entry_without_llm(monkeypatch):
     for name in ("tesselann.llm", "corpus_pipeline"):
         monkeypatch.setitem(sys.modules, name, None)
