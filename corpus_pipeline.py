@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselann.llm import decontaminate, packing, privacy, simhash, subword
+from tesselann.llm import copies, decontaminate, packing, privacy, subword
 from tesselann.llm.queries import table
 from tesselann.llm.shared import shared_dir
 
@@ -25,8 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the row with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """Of each group of texts that share 0.8 of their five-word shingles the row with the smallest doc_id."""
+    return copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
