@@ -1,10 +1,11 @@
-"""Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
+"""Benchmark passages in documents: counts of shingles in item-sized windows, exact verification.
 
 A window of as many words as an item is a match if at least ``SIMILAR`` of the item's shingles, each weighed by how often
-it occurs, are in the window. Candidates are windows whose SimHash (over words and word pairs) is within ``RADIUS`` bits
-of the item's. Fingerprints have eight blocks of eight bits; two within 15 bits differ by at most one bit in some block,
-so that nine look-ups a block find them all. Windows are fingerprinted only where enough of their shingles are shingles
-of any items of that many words, which no match can lack.
+it occurs, are in the window. Candidates are windows in which enough shingles are shingles of any items of that many
+words, then those in which enough are shingles of the item; no match can lack either.
+
+SimHash fingerprints (over words and word pairs) with eight blocks of eight bits find windows within ``RADIUS`` bits of an
+item (``Index.near``). That is no test of similarity, and the search does not ask for it.
 """
 
 from __future__ import annotations
@@ -51,6 +52,10 @@ class Size:
     counts: list[Counter]
     starts: list[np.ndarray]
     order: list[np.ndarray]
+    #: places of the items' shingles among all keys; where the items of each begin in ``owner``
+    known: np.ndarray | None = None
+    first: np.ndarray | None = None
+    owner: np.ndarray | None = None
 
 
 def blocks(prints: np.ndarray) -> np.ndarray:
@@ -85,6 +90,12 @@ class Index:
             pairs = [np.stack([np.searchsorted(known, np.array(list(c), np.uint64)), np.full(len(c), n)]) for n, z in self.sizes.items() if z.width == w for c in z.counts]
             pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
             self.sized[w] = (np.searchsorted(pairs[0], np.arange(len(known) + 1)), pairs[1])
+        for z in self.sizes.values():
+            keys = self.keys[z.width]
+            pairs = np.concatenate([np.stack([np.searchsorted(keys, np.array(list(c), np.uint64)), np.full(len(c), i)]) for i, c in enumerate(z.counts)], axis=1)
+            pairs = pairs[:, np.lexsort(pairs[::-1])]
+            z.known, at = np.unique(pairs[0], return_index=True)
+            z.first, z.owner = np.append(at, pairs.shape[1]), pairs[1]
         self.filters = {}
         for w, k in self.keys.items():
             self.filters[w] = np.zeros(FILTER, bool)
@@ -147,14 +158,46 @@ class Index:
             at = np.nonzero(total[many:] - total[:-many] >= SIMILAR * many - 1e-9)[0]
             if not len(at):
                 continue
-            lo, hi = int(at[0]), int(at[-1]) + n
-            window, item = self.near(window_prints(h[lo:hi], at - lo, n), size)
-            for x, i in zip(at[window], item, strict=True):
-                have = Counter(shingles(h[x : x + n], size.width).tolist())
-                want = size.counts[i]
-                same = sum(min(c, have[s]) for s, c in want.items()) / many
-                if same >= SIMILAR - 1e-9 and same > out.get(size.items[i], (0.0,))[0]:
-                    out[size.items[i]] = (same, base + int(x))
+            # the hits within those windows, by the items that have the shingle
+            edge = np.bincount(at, minlength=len(h) + 1) - np.bincount(at + many, minlength=len(h) + 1)[: len(h) + 1]
+            hits = hits[np.cumsum(edge)[hits] > 0]
+            slot = np.searchsorted(size.known, found[size.width][hits])
+            lo, times = size.first[slot], size.first[slot + 1] - size.first[slot]
+            item = size.owner[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - lo, times)]
+            place = np.repeat(hits, times)
+            order = np.argsort(item, kind="stable")
+            item, place = item[order], place[order]
+            for i in np.nonzero(np.bincount(item, minlength=len(size.items)) >= SIMILAR * many - 1e-9)[0]:
+                own = place[np.searchsorted(item, i) : np.searchsorted(item, i, "right")]
+                # the hits that begin a window with enough of them, `least` hits in `many` places
+                least = max(1, int(np.ceil(SIMILAR * many - 1e-9)))
+                if not (own[least - 1 :] - own[: len(own) - least + 1] < many).any():
+                    continue
+                same, x = best(own, found[size.width], size.counts[i], self.keys[size.width], many, len(h) - n)
+                if same / many >= SIMILAR - 1e-9 and same / many > out.get(size.items[i], (0.0,))[0]:
+                    out[size.items[i]] = (same / many, base + x)
+
+
+def best(own: np.ndarray, found: np.ndarray, counts: Counter, keys: np.ndarray, many: int, last: int) -> tuple[int, int]:
+    """The most of an item's shingles that a window of ``many`` places has, and the first window that has so many. ``own``
+    are the places of the item's shingles; a window begins at 0 to ``last``. The count rises only where a window comes to
+    end at a hit, so that only those windows are looked at."""
+    have: Counter = Counter()
+    same = gone = 0
+    top = (0, 0)
+    for at in own.tolist():
+        x = max(0, at - many + 1)
+        while own[gone] < x:
+            k = int(keys[found[own[gone]]])
+            have[k] -= 1
+            same -= have[k] < counts[k]
+            gone += 1
+        k = int(keys[found[at]])
+        same += have[k] < counts[k]
+        have[k] += 1
+        if same > top[0] and x <= last:
+            top = (same, x)
+    return top
 
 
 def passes(benchmark: DataFrame) -> Iterator[Index]:

@@ -85,6 +85,28 @@ def test_blocks_find_all():
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and len(want) >= 400
 
 
+def test_cut_passages():
+    """Passages that hold 0.80 to 0.87 of an item, beside other text or with edits, also where only one window fits."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    drawn = lambda n, top=3000: " ".join(f"w{x}" for x in rng.integers(0, top, n))
+    items = [(k, drawn(int(rng.integers(30, 101)))) for k in range(300)] + [(300 + k, drawn(40, 4)) for k in range(6)]
+    docs, pairs = [], []
+    for k, text in items:
+        w = text.split()
+        n = int(np.ceil((len(w) - 4) * rng.uniform(0.8, 0.87))) + 4
+        for x in (" ".join(w[:n]) + " " + drawn(60), drawn(int(rng.integers(0, 9))) + " " + " ".join(w[-n:]) + " " + drawn(9), " ".join("z" if i == len(w) // 2 else v for i, v in enumerate(w))):
+            docs.append(x)
+            pairs.append(k)
+    got = D.Index(items).search(docs)
+    for doc, own, k in zip(docs, got, pairs, strict=True):
+        for i in {k, *own, *(range(300, 306) if k >= 300 else ())}:
+            want = similar(doc, items[i][1])
+            assert own.get(i, (0,))[0] == pytest.approx(want if want >= 0.8 else 0)
+    assert sum(k in own for own, k in zip(got, pairs, strict=True)) > 600
+
+
 def test_contaminated(spark, sample, clashing, monkeypatch):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
