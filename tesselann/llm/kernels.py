@@ -52,7 +52,7 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
 
 def batches(texts: list[str | None], overlap: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(which text, number of each word in it, hash)`` for blocks of texts, in order. A text over
-    one block comes in several, each of which repeats the last ``overlap`` words of the one before."""
+    one block comes in several, each of which repeats the last ``overlap`` words of the text before it, however many blocks hold these."""
     own: list[int] = []
     raws: list[bytes] = []
     held = 0
@@ -72,16 +72,16 @@ def batches(texts: list[str | None], overlap: int = 0) -> Iterator[tuple[np.ndar
                 own, raws, held = [], [], 0
             own, raws, held = [*own, k], [*raws, raw], held + len(raw) + 1
             continue
-        at = base = 0
+        at = base = end = 0
         while at < len(raw):
-            end = min(len(raw), at + BLOCK)
+            end = min(len(raw), end + BLOCK)
             while end < len(raw) and not MARKS[raw[end]]:
                 end += 1
             begins, h = words(raw[at:end])
             yield np.full(len(h), k), base + np.arange(len(h)), h
             if end == len(raw):
                 break
-            back = min(overlap, len(h) // 2)
+            back = min(overlap, len(h))
             base += len(h) - back
             at = at + int(begins[-back]) if back else end
     if own:

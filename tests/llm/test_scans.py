@@ -153,6 +153,20 @@ def test_licences(sample, clashing, docs_of, monkeypatch):
         assert (n, len(at), at[0] if at else None) == base_labels(t)[:3]
 
 
+def test_borders(monkeypatch):
+    """An item of more words than a block, and phrases beside unbroken words, wherever the border falls."""
+    monkeypatch.setattr(K, "BLOCK", 100)
+    item = " ".join(f"w{i}" for i in range(60))
+    index, base = D.Index([(1, item)]), L.Index()
+    for n in range(0, 130, 3):
+        assert index.search(["x" * n + " " + item + " end " * 30]) == [{1: (1.0, 1 if n else 0)}]
+        text = "y " + "x" * (n + 70) + " gnu general public license " + "z" * 300 + " mit license"
+        own = base.scan([text])[0]
+        assert (own[0], len(own[1])) == base_labels(text)[:2]
+    seen = [int(v) for which, number, h in K.batches(["x" * 250 + " a b " + "y" * 250 + " c d"], 4) for v in number]
+    assert sorted(set(seen)) == list(range(6))
+
+
 PATTERNS = [re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
