@@ -1,11 +1,9 @@
 """Supervised subword embeddings: a text is the average of hashed word and character n-gram vectors, classified by a
 softmax over two classes; vectors and softmax are learned together by stochastic gradient descent in numpy.
 
-A segment is what is averaged: the whole text, or runs of ``window`` words, where the text's score is that of its
-``top``-th most positive run (its least, if it has fewer). For runs, labels are of texts: after the first passes, a
-positive text teaches by its currently most positive runs only, and a negative one by all of its own.
-
-As the softmax is linear in the average, scoring needs one learned number a bucket: the difference of the class scores.
+A text's bag is counted once, where the text is; training sees bags alone, so that texts of any length can teach, and no
+step needs more than the buckets that its texts touch. As the softmax is linear in the average, scoring needs one learned
+number a bucket: the difference of the class scores. A score depends on its own text alone.
 """
 
 from __future__ import annotations
@@ -18,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .shared import arrow, columns
 
@@ -31,39 +28,24 @@ BLANK = (CODES == 32) | ((CODES >= 9) & (CODES <= 13))
 MARKS = ~((CODES >= 128) | ((CODES >= 48) & (CODES <= 57)) | ((CODES >= 65) & (CODES <= 90)) | ((CODES >= 97) & (CODES <= 122)))
 #: The hash of the word that stands for a repeated one.
 AGAIN = np.uint64(0x5DEECE66D1234567)
-#: Bytes that one pass of the kernels takes; a longer text goes through in several, cut between words where it can.
-BLOCK = 1 << 20
-
-
-def nth(value: np.ndarray, owner: np.ndarray, many: int, n: int) -> np.ndarray:
-    """For each of ``many`` owners the n-th highest of its values, its lowest if it has fewer, -inf if it has none;
-    ``owner`` ascends."""
-    out = np.full(many, -np.inf)
-    if not len(owner):
-        return out
-    left, first = value.astype(np.float64), np.nonzero(np.diff(owner, prepend=-1))[0]
-    run = np.cumsum(np.diff(owner, prepend=-1) != 0) - 1
-    for _ in range(n):
-        high = np.maximum.reduceat(left, first)
-        out[owner[first]] = np.where(np.isinf(high), out[owner[first]], high)
-        hit = np.nonzero(left == high[run])[0]
-        left[hit[np.diff(run[hit], prepend=-1) != 0]] = -np.inf
-    return out
+#: Bytes that one pass of the kernels takes; a longer text goes through in several, cut between words.
+BLOCK = 1 << 18
 
 
 @dataclass
 class Subword:
-    """``lower``: fold A-Z; ``marks``: words end at any mark, not at white space only; ``window``: words of a segment, 0
-    for the text; ``balance``: the power to which positive texts weigh more where they are fewer; ``start``: the range of
-    the first vectors; ``damp``: gradients far below this hardly move a vector, so that rare n-grams teach little."""
+    """``lower``: fold A-Z; ``marks``: words end at any mark, not at white space only; ``balance``: the power to which
+    positive texts weigh more where they are fewer; ``common``: the share of the texts in which an n-gram has to stand to
+    be learned; ``shrink``: the length that each pass takes off every vector, so that only those stay that many texts
+    teach; ``start``: the range of the first vectors; ``damp``: gradients below this hardly move a vector."""
 
     lower: bool
     marks: bool
-    window: int = 0
     balance: float = 1.0
-    top: int = 2
+    common: float = 0.01
+    shrink: float = 0.1
     start: float = 0.01
-    damp: float = 3e-5
+    damp: float = 1e-2
     bits: int = 17
     dims: int = 8
     orders: tuple[int, ...] = (4, 5, 6)
@@ -72,28 +54,32 @@ class Subword:
     bias: np.ndarray = field(default=None, repr=False)
     weights: tuple[np.ndarray, float] = field(default=None, repr=False)
 
-    def grams(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets of all words and n-grams, the word of each, and the byte at which each word begins. An n-gram may have
-        the blank before or after its word, and none inside."""
+    def grams(self, raw: bytes, ends: np.ndarray | None = None, before: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64 | None]:
+        """Buckets of all words and n-grams, the word of each, the byte at which each word begins, and the last word's
+        hash. An n-gram may have the blank before or after its word, and none inside. ``ends`` are the ends of the texts
+        that ``raw`` is made of; ``before`` is the hash of the word that came before ``raw`` in its text."""
         b = np.frombuffer(b" " + raw + b" ", np.uint8)
         sep = (MARKS if self.marks else BLANK)[b]
         b = np.where(sep, np.uint8(32), LOWER[b] if self.lower else b)
         begins = np.nonzero(sep[:-1] & ~sep[1:])[0] + 1
         if not len(begins):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), begins
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), begins, before
         word = np.cumsum(sep[:-1] & ~sep[1:]) - 1
         word = np.concatenate([[0], word])
         wide, marks = b.astype(np.uint64), np.cumsum(sep)
         shift = np.uint64(64 - self.bits)
         # a word's bytes weighed by their place
         place = np.arange(len(b)) - begins[np.maximum(word, 0)]
-        powers = ODD ** np.arange(min(64, len(b)), dtype=np.uint64)
+        powers = ODD ** np.arange(64, dtype=np.uint64)
         weighed = np.where(sep, np.uint64(0), (wide + np.uint64(1)) * powers[np.clip(place, 0, len(powers) - 1)])
         whole = np.add.reduceat(weighed, begins) * ODD
         ids, owner = [((whole ^ (whole >> np.uint64(32))) * ODD) >> shift], [np.arange(len(begins))]
-        again = np.nonzero(whole[1:] == whole[:-1])[0] + 1
-        # a word that repeats the one before it is also the word "again", as often as it has n-grams
-        again = np.repeat(again, len(self.orders) + 1)
+        # a word that repeats the one before it in its text is also the word "again", as often as it has n-grams
+        same = np.concatenate([[before is not None and whole[0] == before], whole[1:] == whole[:-1]])
+        if ends is not None:
+            text = np.searchsorted(ends, begins - 1, "right")
+            same[1:] &= text[1:] == text[:-1]
+        again = np.repeat(np.nonzero(same)[0], len(self.orders) + 1)
         ids.append(np.full(len(again), AGAIN, np.uint64) >> shift)
         owner.append(again)
         code = wide[:-1] | wide[1:] << np.uint64(8)
@@ -103,64 +89,71 @@ class Subword:
                 at = np.nonzero(marks[n - 2 : len(b) - 1] == marks[: len(b) - n + 1])[0]
                 ids.append((code[at] + np.uint64(n)) * ODD >> shift)
                 owner.append(word[at + 1])
-        return np.concatenate(ids).astype(np.int64), np.concatenate(owner), begins - 1
-
-    def cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts that fit one block together: buckets, the segment of each, and the text of each segment."""
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        ids, word, begins = self.grams(b"\n".join(texts))
-        text = np.searchsorted(ends, begins, "right")
-        if not self.window:
-            return ids, text[word], np.arange(len(texts))
-        first = np.searchsorted(text, np.arange(len(texts)))
-        many = -(-np.bincount(text, minlength=len(texts)) // self.window)
-        base = np.cumsum(many) - many
-        run = base[text] + (np.arange(len(text)) - first[text]) // self.window
-        return ids, run[word], np.repeat(np.arange(len(texts)), many)
-
-    def fit(self, texts: list[str], labels: list[int], passes: int = 8, rate: float = 0.5, seed: int = 0, batch: int = 1 << 17) -> Subword:
+        return np.concatenate(ids).astype(np.int64), np.concatenate(owner), begins - 1, whole[-1]
+
+    def parts(self, raw: bytes) -> Iterator[np.ndarray]:
+        """The buckets of one text, block by block. Blocks end between words, so that they change nothing."""
+        at, before, blank = 0, None, MARKS if self.marks else BLANK
+        while at < len(raw):
+            end = min(len(raw), at + BLOCK)
+            while end < len(raw) and not blank[raw[end]]:
+                end += 1
+            ids, _, _, before = self.grams(raw[at:end], before=before)
+            yield ids
+            at = end
+
+    def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of a text and how often each occurs; at most 2 ** bits, however long the text."""
+        found = [np.unique(x, return_counts=True) for x in self.parts((text or "").encode())]
+        if len(found) < 2:
+            return found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        total = np.zeros(1 << self.bits, np.int64)
+        for ids, n in found:
+            total[ids] += n
+        return np.nonzero(total)[0], total[total > 0]
+
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], passes: int = 6, rate: float = 0.5, seed: int = 0, batch: int = 1 << 15) -> Subword:
+        """Learned from bags; a bucket that fewer than the share ``common`` of them hold has the zero vector."""
         rng = np.random.default_rng(seed)
-        size = 1 << self.bits
-        self.vectors = rng.uniform(-self.start, self.start, (size, self.dims)).astype(np.float32)
+        size, many = 1 << self.bits, np.array([len(i) for i, _ in bags], np.int64)
+        ids = np.concatenate([np.zeros(0, np.int64), *(i for i, _ in bags)])
+        share = np.concatenate([np.zeros(0, np.float32), *((n / max(1, n.sum())).astype(np.float32) for _, n in bags)])
+        common = np.bincount(ids, minlength=size) >= max(1, self.common * len(bags))
+        self.vectors = (rng.uniform(-self.start, self.start, (size, self.dims)) * common[:, None]).astype(np.float32)
+        text, keep = np.repeat(np.arange(len(bags)), many), common[ids]
+        ids, share, many = ids[keep], share[keep], np.bincount(text[keep], minlength=len(bags))
+        first = np.cumsum(many) - many
         self.classes, self.bias = np.zeros((2, self.dims), np.float32), np.zeros(2, np.float32)
         self.classes[1] = rng.normal(0, 0.5, self.dims)
         self.classes[0] = -self.classes[1]
         seen = [np.full((size, self.dims), self.damp**2, np.float32), np.full((2, self.dims), 1e-8, np.float32), np.full(2, 1e-8, np.float32)]
-        raw = [t.encode() for t in texts]
-        batch = min(batch, max(4096, sum(map(len, raw)) // 40))  # few texts still make many steps
+        batch = min(batch, max(2048, many.sum() // 40))  # few texts still make many steps
         y = np.array(labels, np.int64)
         weight = np.array([1.0, (np.bincount(y, minlength=2)[0] / max(1, y.sum())) ** self.balance])
         for turn in range(passes):
-            order, own, held = rng.permutation(len(raw)), [], 0
-            for i, k in enumerate(order):
-                own.append(k)
-                held += len(raw[k]) + 1
-                if held >= batch or i + 1 == len(order):
-                    self._step([raw[k] for k in own], y[own], weight[y[own]], seen, rate * (1 - turn / passes), turn)
-                    own, held = [], 0
+            order = rng.permutation(len(bags))
+            for own in np.split(order, np.searchsorted(np.cumsum(many[order]), np.arange(batch, many.sum(), batch))):
+                own = own[many[own] > 0]
+                if len(own):
+                    at = np.arange(many[own].sum()) + np.repeat(first[own] - np.cumsum(many[own]) + many[own], many[own])
+                    self._step(ids[at], share[at], many[own], y[own], weight[y[own]], seen, rate * (1 - turn / passes))
+            # what little a vector learned by chance is taken back
+            norm = np.sqrt((self.vectors * self.vectors).sum(1, keepdims=True))
+            self.vectors *= np.maximum(0, 1 - self.shrink / np.maximum(norm, 1e-9))
         return self
 
-    def _step(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, seen: list, rate: float, turn: int) -> None:
-        ids, seg, owner = self.cut(texts)
-        if not len(ids):
-            return
-        many = len(owner)
-        n = np.bincount(seg, minlength=many).clip(1)
-        mean = np.stack([np.bincount(seg, self.vectors[ids, d], many) for d in range(self.dims)], 1) / n[:, None]
+    def _step(self, ids: np.ndarray, share: np.ndarray, many: np.ndarray, y: np.ndarray, weight: np.ndarray, seen: list, rate: float) -> None:
+        mean = np.add.reduceat(self.vectors[ids] * share[:, None], np.cumsum(many) - many)
         logit = mean @ self.classes.T + self.bias
         p = 1 / (1 + np.exp(-np.clip(logit[:, 1] - logit[:, 0], -30, 30)))
-        target, use = y[owner], np.ones(many)
-        if self.window:
-            if turn >= 2:  # a run of a positive text that is not among its best says nothing
-                use = np.where((target == 1) & (p < np.minimum(nth(p, owner, len(texts), self.top)[owner], 0.5)), 0.0, 1.0)
-        g = (p - target) * use * weight[owner]
-        g /= np.abs(use * weight[owner]).sum()
+        g = ((p - y) * weight / weight.sum()).astype(np.float32)
         two = np.stack([-g, g], 1)
-        back = two @ self.classes / n[:, None]
-        grads = [np.stack([np.bincount(ids, back[seg, d], 1 << self.bits) for d in range(self.dims)], 1), two.T @ mean, two.sum(0)]
-        for value, grad, sq in zip((self.vectors, self.classes, self.bias), grads, seen, strict=True):
-            sq += grad * grad
-            value -= rate * grad / np.sqrt(sq)
+        order = np.argsort(ids, kind="stable")
+        cuts = np.nonzero(np.diff(ids[order], prepend=-1))[0]
+        back = np.add.reduceat((np.repeat(two @ self.classes, many, axis=0) * share[:, None])[order], cuts)
+        for value, sq, own, grad in ((self.vectors, seen[0], ids[order[cuts]], back), (self.classes, seen[1], slice(None), two.T @ mean), (self.bias, seen[2], slice(None), two.sum(0))):
+            sq[own] += grad * grad
+            value[own] -= rate * grad / np.sqrt(sq[own])
 
     def light(self) -> Subword:
         """What scoring needs: one number for each bucket, and the bias."""
@@ -168,76 +161,70 @@ class Subword:
         told = (self.vectors @ diff).astype(np.float32), float(self.bias[1] - self.bias[0])
         return replace(self, vectors=None, classes=None, bias=None, weights=told)
 
-    def long(self, raw: bytes, table: np.ndarray) -> float | None:
-        """The score before the bias of a text of any length, block by block."""
-        total = count = 0.0
-        best, spare, at = np.zeros(0), (0, 0.0, 0), 0
-        while at < len(raw):
-            end = min(len(raw), at + BLOCK)
-            if end < len(raw):
-                end = max(raw.rfind(b" ", at + BLOCK // 2, end), raw.rfind(b"\n", at + BLOCK // 2, end)) + 1 or end
-            ids, word, begins = self.grams(raw[at:end])
-            at = end
-            if not len(ids):
-                continue
-            if not self.window:
-                total, count = total + float(table[ids].sum()), count + len(ids)
-                continue
-            seg, words = (word + spare[0]) // self.window, len(begins) + spare[0]  # the run that the last block left open goes on
-            value, n = np.bincount(seg, table[ids]), np.bincount(seg).astype(float)
-            value[0], n[0] = value[0] + spare[1], n[0] + spare[2]
-            rest = words % self.window
-            full = len(value) - bool(rest)
-            spare = (rest, float(value[-1]), int(n[-1])) if rest else (0, 0.0, 0)
-            best = np.sort(np.concatenate([best, value[:full] / n[:full]]))[-self.top :]
-        if not self.window:
-            return total / count if count else None
-        if spare[2]:
-            best = np.sort(np.append(best, spare[1] / spare[2]))[-self.top :]
-        return float(best[0]) if len(best) else None
-
     def score(self, texts: list[str | None], empty: float = 0.0) -> np.ndarray:
-        """Probability of class 1 for each text; ``empty`` where a text has no word."""
+        """Probability of class 1 for each text; ``empty`` where a text has no word. Short texts share a block."""
         table, bias = (self if self.weights else self.light()).weights
         raw = [(t or "").encode() for t in texts]
-        out = np.full(len(raw), -np.inf)
+        total, count = np.zeros(len(raw)), np.zeros(len(raw))
         own, held = [], 0
         for k, t in enumerate([*raw, b""]):
             if (last := k == len(raw)) or held + len(t) + 1 > BLOCK:
                 if own:
-                    ids, seg, owner = self.cut([raw[i] for i in own])
-                    n = np.bincount(seg, minlength=len(owner))
-                    value = np.where(n > 0, np.bincount(seg, table[ids], len(owner)) / n.clip(1), -np.inf)
-                    out[own] = nth(value, owner, len(own), self.top if self.window else 1)
+                    ends = np.cumsum([len(raw[i]) + 1 for i in own])
+                    ids, word, begins, _ = self.grams(b"\n".join(raw[i] for i in own), ends)
+                    text = np.searchsorted(ends, begins, "right")[word] if len(ids) else word
+                    # sums in the order of a text's own buckets, whatever stands beside it
+                    order = np.argsort(text, kind="stable")
+                    at = np.searchsorted(text[order], np.arange(len(own) + 1))
+                    value = table[ids[order]].astype(np.float64)
+                    for j, i in enumerate(own):
+                        total[i], count[i] = value[at[j] : at[j + 1]].sum(), at[j + 1] - at[j]
                 own, held = [], 0
             if not last and len(t) >= BLOCK:
-                value = self.long(t, table)
-                out[k] = -np.inf if value is None else value
+                for ids in self.parts(t):
+                    total[k], count[k] = total[k] + table[ids].astype(np.float64).sum(), count[k] + len(ids)
             elif not last:
                 own, held = [*own, k], held + len(t) + 1
-        return np.where(np.isinf(out), empty, 1 / (1 + np.exp(-np.clip(out + bias, -30, 30))))
+        value = total / np.maximum(count, 1) + bias
+        return np.where(count > 0, 1 / (1 + np.exp(-np.clip(value, -30, 30))), empty)
 
 
-#: Labelled rows of each class that a classifier learns from, at most, and the longest text among them.
-SAMPLE, LONGEST = 2_500, 6_000
+#: Labelled rows of each class that a classifier learns from, at most.
+SAMPLE = 2_500
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, model: Subword, sample: int = SAMPLE, longest: int = LONGEST) -> Subword:
+def learn(docs: DataFrame, labels: DataFrame, label: str, model: Subword, sample: int = SAMPLE) -> Subword:
     """``model`` fitted on labelled rows outside the held-out fifth: of each class the ``sample`` first by a hash of
-    doc_id, as far as their texts have at most ``longest`` characters. With fewer than two classes it stays neutral."""
-    known = columns(labels, "doc_id", label).where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("id"), F.col(label).alias("y")).dropDuplicates(["id"])
-    known = known.where(~held_out(F.col("id")))
+    doc_id, their texts whole. A doc_id whose labels differ teaches nothing; of rows that repeat a doc_id the one whose
+    text has the smallest hash teaches. With fewer than two classes the model stays neutral.
+
+    Bags are counted where the texts are; the driver gets at most ``2 * sample`` of them, of at most ``2 ** bits`` buckets.
+    """
+    known = columns(labels, "doc_id", label).where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("id"), F.col(label).alias("y"))
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("high")).where("y = high AND id IS NOT NULL").select("id", "y").where(~held_out(F.col("id")))
     known = reduce(DataFrame.unionByName, [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)])
-    own = columns(docs, "doc_id", "text").where(F.length("text") <= longest)
+    own = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
     # at most twice `sample` ids are broadcast
-    rows = own.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", "text", "y")
-    found = rows.orderBy(F.xxhash64("id"), "id", "text").limit(2 * sample).collect()
-    texts, ys = [x.text for x in found], [x.y for x in found]
-    if len(set(ys)) < 2:
+    rows = own.join(F.broadcast(known), "id").select("id", "y", F.xxhash64("text").alias("th"), "text")
+    empty = replace(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [empty.bag(t) for t in b.column(3).to_pylist()]
+            cols = [pa.array([x[k].astype(np.int32) for x in bags], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], ["id", "y", "th", "ids", "n"])
+
+    arrow(docs.sparkSession)
+    bags = rows.mapInArrow(run, "id long, y int, th long, ids array<int>, n array<int>")
+    found = bags.groupBy("id").agg(F.min(F.struct("th", "y", "ids", "n")).alias("x")).select("id", "x.y", "x.ids", "x.n").toArrow().combine_chunks()
+    order = np.argsort(found.column("id").to_numpy())
+    ys = found.column("y").to_numpy()[order]
+    if len(set(ys.tolist())) < 2:
         model.vectors, model.classes = np.zeros((1 << model.bits, model.dims), np.float32), np.zeros((2, model.dims), np.float32)
         model.bias = np.zeros(2, np.float32)
         return model
-    return model.fit(texts, ys)
+    ids, n = found.column("ids"), found.column("n")
+    return model.fit([(ids[int(k)].values.to_numpy().astype(np.int64), n[int(k)].values.to_numpy()) for k in order], ys)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> Subword:
@@ -246,8 +233,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> Subword:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> Subword:
-    """Few words make a text toxic: each word is a segment. One such word may be chance: the second counts."""
-    return learn(docs, labels, "toxic", Subword(lower=True, marks=True, window=1, balance=0.5))
+    """Few n-grams make a text toxic: much is taken off all vectors. Classes weigh as often as they occur."""
+    return learn(docs, labels, "toxic", Subword(lower=True, marks=True, balance=0.0, shrink=0.2))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -255,11 +242,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def scored(docs: DataFrame, model: Subword, cut: float, empty: float = 0.0, keep: bool = False) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for each row; with ``keep``, the columns of ``docs`` instead, and score.
+def scored(docs: DataFrame, model: Subword, cut: float, empty: float = 0.0) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for each row.
 
-    A null text counts as empty; a text without words has the score ``empty``. A null doc_id is not held out. Repeated
-    rows get equal scores. Columns other than doc_id and text are not read.
+    A null text counts as empty; a text without words has the score ``empty``. A null doc_id is not held out. Equal texts
+    get equal scores, wherever they stand. Columns other than doc_id and text are not read; an empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     arrow(spark)
@@ -268,12 +256,24 @@ def scored(docs: DataFrame, model: Subword, cut: float, empty: float = 0.0, keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = told.value
         for b in batches:
-            text = b.column(b.schema.get_field_index("text"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(text.to_pylist(), empty), pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.score(b.column(1).to_pylist(), empty), pa.float64())], ["doc_id", "score"])
 
-    if keep:
-        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
     own = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = own.mapInArrow(lambda batches: (b.select(["doc_id", "score"]) for b in run(batches)), "doc_id long, score double")
+    rows = own.mapInArrow(run, "doc_id long, score double")
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     return rows.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def below(docs: DataFrame, model: Subword, cut: float, empty: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, with all columns, that score less than ``cut``; no column is added, so no name can clash."""
+    spark = docs.sparkSession
+    arrow(spark)
+    told = spark.sparkContext.broadcast(model.light())
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = told.value
+        for b in batches:
+            yield b.filter(pa.array(own.score(b.column(at).to_pylist(), empty) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
