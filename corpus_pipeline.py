@@ -20,8 +20,7 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier scores below one half."""
-    model = subword.toxicity(docs, table(spark, sf_dir, "labels"))
-    return subword.scored(docs, model, cut=0.5, keep=True).where("score < 0.5").select(*docs.columns)
+    return subword.below(docs, subword.toxicity(docs, table(spark, sf_dir, "labels")), cut=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
