@@ -1,18 +1,21 @@
 """Personal data, and the terms that give it away.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers. Each value is a protected entity. A term near an
-entity discloses it as far as it removes the uncertainty about it: with p(e) the share of distinct texts that hold the
-entity and p(e|t) the share of those with the term that hold it nearby, disclosure is PMI(e; t) / IC(e) =
-1 - log p(e|t) / log p(e), at most 1. Terms at or above ``GENERALISE`` are replaced by a general one, those at or above
-``REMOVE`` are removed, where they stand near that entity. Copies of a text are no further evidence: all counts are of
-distinct texts, over the whole corpus.
+Base spans are e-mail addresses, IP addresses, card and phone numbers. Each value is a protected entity, and so is each
+e-mail domain. A term discloses an entity as far as it removes the uncertainty about it: with p(e) the share of distinct
+texts that hold the entity, and p(e|t) the share of those with the term that hold it within ``NEAR`` words, disclosure is
+PMI(e; t) / IC(e) = 1 - log p(e|t) / log p(e), at most 1. ``DOUBT`` texts that have the term without the entity are added
+to those seen, so that a term has to recur with an entity to be removed, while one that was only ever seen beside it is
+still generalised. Copies of a text are no further evidence: all counts are of distinct texts, over the whole corpus.
+
+A term at or above ``GENERALISE`` for any entity is treated wherever it stands, also where the entity does not: it is
+replaced by what it looks like (``general``), or removed at or above ``REMOVE``.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +29,14 @@ from pyspark.sql.types import StructType
 from .shared import arrow, columns, few, kept, shared_dir
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that may disclose it; letters of such a word; distinct texts in which both stand.
-NEAR, LETTERS, SUPPORT = 5, 3, 3
+#: Words on each side of an entity that may disclose it; letters of such a word, at least.
+NEAR, LETTERS = 5, 3
+#: Texts added to those that have a term without the entity.
+DOUBT = 1.0
 GENERALISE, REMOVE = 0.9, 0.97
-#: Bits of the filter that the corpus's words pass before they are counted.
-FILTER = 1 << 20
+#: Bits a term in the filter that the corpus's words pass first, and the most bits that the filter has; beyond about four
+#: million terms more words pass that are no terms, and the join that follows drops these.
+BITS, MOST_BITS = 16, 1 << 26
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -74,105 +80,177 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def entity(kind: int, value: str) -> int:
-    value = value.lower() if kind == 0 else value if kind == 1 else digits(value)
-    return xxhash.xxh64_intdigest(f"{kind}:{value}") - (1 << 63)
+def hashed(value: str) -> int:
+    return xxhash.xxh64_intdigest(value) - (1 << 63)
 
 
-def context(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
-    """``(entity, term, start, end)`` for the words near each span that are in no span."""
-    out = []
+def entities(kind: int, value: str) -> list[int]:
+    """What a span protects: its value, and of an e-mail address the domain too."""
+    if kind == 0:
+        return [hashed(f"0:{value.lower()}"), hashed(f"@:{value.lower().rpartition('@')[2]}")]
+    return [hashed(f"{kind}:{value if kind == 1 else digits(value)}")]
+
+
+def term(word: str) -> int:
+    return hashed(word.lower())
+
+
+def context(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int | None]]:
+    """``(entity, term)`` for the words near each span that are in no span, and ``(entity, None)`` for each span."""
+    if not spans:
+        return []
+    words = [m.span() for m in WORD.finditer(text)]
+    begins, ends = [a for a, _ in words], [b for _, b in words]
+    taken: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    first = [a for a, _ in taken]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(first, b)
+        return k == 0 or taken[k - 1][1] <= a
+
+    out: list[tuple[int, int | None]] = []
     for kind, a, b in spans:
-        e = entity(kind, text[a:b])
-        # long enough for words of any usual length; a longer one ends it early
-        lo = max(0, a - 40 * NEAR)
-        left = [m for m in WORD.finditer(text, lo, a) if m.start() > lo or lo == 0][-NEAR:]
-        right = []
-        for m in WORD.finditer(text, b, min(len(text), b + 40 * NEAR)):
-            right.append(m)
-            if len(right) == NEAR:
-                break
-        for m in (*left, *right):
-            if len(m[0]) >= LETTERS and not any(s < m.end() and m.start() < t for _, s, t in spans):
-                out.append((e, m[0].lower(), m.start(), m.end()))
+        left, right = bisect_right(ends, a), bisect_left(begins, b)
+        near = [words[k] for k in (*range(max(0, left - NEAR), left), *range(right, min(len(words), right + NEAR)))]
+        terms = [term(text[x:y]) for x, y in near if y - x >= LETTERS and free(x, y)]
+        for e in entities(kind, text[a:b]):
+            out += [(e, None), *((e, t) for t in terms)]
     return out
 
 
-FOUND = "row long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<e: long, t: string, a: int, b: int>>"
+PAIRS = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())]))
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """``docs`` with what ``FOUND`` names: a number for each row, a hash of its text, its base spans and the terms near."""
-    at = docs.columns.index("text")
-    names = [*docs.columns, *(x.split()[0] for x in FOUND.split(", ")[:7]), "near"]
-    near = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
+def neighbours(texts: DataFrame) -> DataFrame:
+    """``(th, near array<struct<e, t>>)`` for each row of ``texts (text, th)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            rows = []
-            for text in b.column(at).to_pylist():
-                text = text or ""
-                spans = base_spans(text)
-                count = [sum(s[0] == k for s in spans) for k in range(4)]
-                told = ",".join(f"{KINDS[k]}:{s}:{t}" for k, s, t in spans)
-                rows.append((row, xxhash.xxh64_intdigest(text) - (1 << 63), *count, told, [dict(zip("etab", x, strict=True)) for x in context(text, spans)]))
-                row += 1
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.int64()] * 6 + [pa.string(), near]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
-
-    arrow(docs.sparkSession)
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(FOUND).fields]))
+            near = [[{"e": e, "t": t} for e, t in dict.fromkeys(context(x or "", base_spans(x or "")))] for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(near, PAIRS)], ["th", "near"])
+
+    return texts.mapInArrow(run, "th long, near array<struct<e: long, t: long>>")
+
+
+def bloom(terms: DataFrame) -> bytes:
+    """A filter of the hashes ``terms (t)``, a bit a slot; the driver gets one number for each 64 bits of it, at most."""
+    many = max(1, terms.count())
+    size = min(MOST_BITS, max(1 << 12, 1 << (BITS * many - 1).bit_length()))
+    words = terms.select(F.expr(f"pmod(t, {size}L) div 64").alias("w"), F.expr("shiftleft(1L, int(pmod(t, 64)))").alias("m"))
+    found = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[found.column("w").to_numpy()] = found.column("m").to_numpy()
+    return bits.astype("<i8").tobytes()
+
+
+def passing(words: list[tuple[str, int, int]], own: bytes, names: dict[str, int]) -> list[tuple[int, int, int]]:
+    """``(term, start, end)`` of those words that the filter lets through; ``names`` keeps hashes already taken."""
+    out, last = [], 8 * len(own) - 1
+    for w, a, b in words:
+        if b - a >= LETTERS:
+            if (t := names.get(w)) is None:
+                t = term(w)
+                if len(names) < 200_000:
+                    names[w] = t
+            if own[(t & last) >> 3] >> (t & 7) & 1:
+                out.append((t, a, b))
+    return out
 
 
 def counted(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(t, n)``: in how many distinct texts of ``texts (text, text_hash)`` each of ``terms (t)`` stands."""
-    slot = lambda t: zlib.crc32(t.encode()) % FILTER
-    # at most FILTER numbers, however many terms
-    slots = [x.s for x in terms.select((F.crc32(F.col("t").cast("binary")) % FILTER).alias("s")).distinct().collect()]
-    bits = np.zeros(FILTER, bool)
-    bits[slots] = True
-    told = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    """``(t, n)``: in how many distinct texts of ``texts (text, th)`` each of ``terms (t)`` stands."""
+    told = texts.sparkSession.sparkContext.broadcast(bloom(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.unpackbits(told.value).astype(bool).tolist()
+        names: dict[str, int] = {}
         for b in batches:
             t, h = [], []
             for text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                have = [w for w in {x.lower() for x in WORD.findall(text or "")} if len(w) >= LETTERS and own[slot(w)]]
+                have = {x for x, *_ in passing([(w, 0, len(w)) for w in set(WORD.findall(text or ""))], told.value, names)}
                 t += have
                 h += [key] * len(have)
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(h, pa.int64())], ["t", "text_hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(h, pa.int64())], ["t", "th"])
 
-    words = texts.select("text", "text_hash").mapInArrow(run, "t string, text_hash long")
+    words = texts.mapInArrow(run, "t long, th long")
     # counted before the join, so that a frequent term is dealt out by its texts
     return words.distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n")).join(terms, "t", "left_semi")
 
 
-def disclosing(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(row, terms)``: for each row that has any, the disclosing terms as ``(a, b, removed)`` by place.
-
-    ``rows`` has what ``FOUND`` names, ``texts`` (text, text_hash) the same rows' texts.
-    """
-    near = rows.where(F.size("near") > 0).select("row", "text_hash", F.explode("near").alias("x")).select("row", "text_hash", "x.*")
-    seen = near.select("e", "t", "text_hash").distinct()
-    pairs = seen.groupBy("e", "t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    entities = seen.select("e", "text_hash").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("texts"))
-    least = seen.select("t", "text_hash").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("least"))
-    total = rows.agg(F.count_distinct("text_hash")).first()[0]
+def disclosing(texts: DataFrame) -> DataFrame:
+    """``(t, removed)``: the terms that disclose an entity, over ``texts (text, th)``; written to the shared folder."""
+    rows = kept(neighbours(texts))
+    near = rows.where(F.size("near") > 0).select("th", F.explode("near").alias("x")).select("th", "x.*").distinct()
+    seen = near.where("t IS NOT NULL")
+    pairs = seen.groupBy("e", "t").agg(F.count(F.lit(1)).alias("both"))
+    held = near.where("t IS NULL").groupBy("e").agg(F.count(F.lit(1)).alias("texts"))
+    least = seen.select("t", "th").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("least"))
+    total = rows.agg(F.count_distinct("th")).first()[0]
 
     def disclosed(of: str):
-        given = F.least(F.lit(1.0), F.col("both") / F.col(of))
-        return 1 - F.log(given) / F.log(F.col("texts") / F.lit(float(max(2, total + 1))))
+        return 1 - F.log(F.col("both") / (F.col(of) + DOUBT)) / F.log(F.col("texts") / F.lit(float(total + 1)))
 
     # a term stands in at least the texts in which it is near any entity: most common words end here
-    pairs = few(pairs.join(entities, "e").join(least, "t").where(disclosed("least") >= GENERALISE))
+    pairs = few(pairs.join(held, "e").join(least, "t").where(disclosed("least") >= GENERALISE))
     whole = counted(texts, pairs.select("t").distinct())
-    flagged = pairs.join(whole, "t").withColumn("d", disclosed("n")).where(F.col("d") >= GENERALISE)
-    flagged = flagged.select("e", "t", (F.col("d") >= REMOVE).alias("removed"))
-    hit = near.join(flagged, ["e", "t"]).groupBy("row", "a", "b").agg(F.max("removed").alias("removed"))
-    return hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b", "removed"))).alias("terms"))
+    told = pairs.join(whole, "t").withColumn("d", disclosed("n")).where(F.col("d") >= GENERALISE)
+    return few(told.groupBy("t").agg((F.max("d") >= REMOVE).alias("removed")))
+
+
+FOUND = "row long, n_email long, n_ip long, n_card long, n_phone long, base string, hits array<struct<t: long, a: int, b: int>>"
+HITS = pa.list_(pa.struct([("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+
+
+def found(rows: DataFrame, at: int, terms: DataFrame) -> DataFrame:
+    """``rows``, whose column ``at`` is the text, with what ``FOUND`` names: a number for each row, its base spans, and
+    the words outside these that may be of ``terms``."""
+    told = rows.sparkSession.sparkContext.broadcast(bloom(terms))
+    names = [*rows.columns, *StructType.fromDDL(FOUND).names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, seen = TaskContext.get().partitionId() << 33, {}
+        for b in batches:
+            out = []
+            for text in b.column(at).to_pylist():
+                spans = base_spans(text or "")
+                hits = passing([(m[0], *m.span()) for m in WORD.finditer(text or "")], told.value, seen)
+                hits = outside(hits, spans) if hits and spans else hits
+                count = [sum(s[0] == k for s in spans) for k in range(4)]
+                out.append((row, *count, ",".join(f"{KINDS[k]}:{s}:{t}" for k, s, t in spans), [dict(zip("tab", x, strict=True)) for x in hits]))
+                row += 1
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64()] * 5 + [pa.string(), HITS]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL(FOUND).fields]))
+
+
+def outside(hits: list[tuple[int, int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The hits that overlap no span."""
+    edges, out, k, end = sorted((a, b) for _, a, b in spans), [], 0, -1
+    for t, a, b in hits:
+        while k < len(edges) and edges[k][0] < b:
+            end, k = max(end, edges[k][1]), k + 1
+        if end <= a:
+            out.append((t, a, b))
+    return out
+
+
+def resolved(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(row, terms)``: the hits of each of ``rows`` that are of ``terms``, as ``(a, b, removed)`` by place."""
+    hits = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*")
+    hits = hits.join(terms, "t")
+    return hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b", "removed"))).alias("terms"))
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """``(text, th)`` with a hash of each text; a null text counts as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return columns(docs, "text").select(text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -181,31 +259,26 @@ def spans(docs: DataFrame) -> DataFrame:
     A null text counts as empty: no spans. A null doc_id stays null; repeated rows each have their result. Texts of any
     length are searched whole. Columns other than doc_id and text are not read. An empty table gives an empty result.
     """
+    arrow(docs.sparkSession)
     own = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = kept(found(own).drop("text"))
-    terms = disclosing(hashed(own), rows)
-    out = rows.drop("near", "text_hash").join(terms, "row", "left")
+    terms = disclosing(named(docs))
+    rows = kept(found(own, 1, terms).drop("text"))
+    out = rows.drop("hits").join(resolved(rows, terms), "row", "left")
     told = F.array_join(F.transform("terms", lambda x: F.concat(F.lit("term:"), x["a"], F.lit(":"), x["b"])), ",")
     every = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), told)
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), every.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"))
 
 
-def hashed(own: DataFrame) -> DataFrame:
-    """``(text, text_hash)`` with the hash that ``found`` gives."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = b.column(0)
-            yield pa.RecordBatch.from_arrays([text, pa.array([xxhash.xxh64_intdigest(t or "") - (1 << 63) for t in text.to_pylist()], pa.int64())], ["text", "text_hash"])
-
-    return own.select("text").mapInArrow(run, "text string, text_hash long")
+def general(word: str) -> str:
+    """The general term for a word, by its looks."""
+    return "[CODE]" if word.isupper() else "[NAME]" if word[:1].isupper() else "[TERM]"
 
 
 def redact(text: str, base: str, terms: list | None) -> str:
     """The text with base spans named by kind, and disclosing terms generalised or removed; of overlapping spans the first
     in the text, of those the longest, gives the name."""
     marks = [(int(a), int(b), f"[{k.upper()}]") for k, a, b in (x.split(":") for x in base.split(",") if x)]
-    marks += [(x["a"], x["b"], "" if x["removed"] else "[TERM]") for x in terms or ()]
+    marks += [(x["a"], x["b"], "" if x["removed"] else general(text[x["a"] : x["b"]])) for x in terms or ()]
     out, at, end = [], 0, 0
     for a, b, name in sorted(marks, key=lambda m: (m[0], -m[1])):
         if a >= end:
@@ -217,26 +290,34 @@ def redact(text: str, base: str, terms: list | None) -> str:
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with its texts redacted, and n_chars, where there is one, that of the new text.
 
-    Rows without personal data stay as they are, a null text too. Rows are written once to the shared folder with what
-    was found in them; only those near whose entities any term stands are dealt out again, to meet their terms.
+    Rows with neither personal data nor a disclosing term stay as they are, a null text too. Repeated rows are each
+    redacted; an empty table gives an empty one. Columns of any name are carried: none is added beside them under a name
+    of its own. Rows are written once to the shared folder with what was found in them; only those that hold words which
+    may be terms are dealt out again, to meet their terms.
     """
-    spark = docs.sparkSession
+    spark, names = docs.sparkSession, docs.columns
+    arrow(spark)
+    terms = disclosing(named(docs))
+    own = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+    inner = own.columns
     path = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
-    found(docs).write.parquet(path)
-    rows = spark.read.schema(StructType([*docs.schema.fields, *StructType.fromDDL(FOUND).fields])).parquet(path)
-    terms = few(disclosing(rows.select("text", "text_hash"), rows.select("row", "text_hash", "near")))
-    touched = rows.where(F.col("base") != "").select(*docs.columns, "row", "base").join(terms, "row", "left").drop("row")
-    names = docs.columns
+    found(own, text, terms).write.parquet(path)
+    rows = spark.read.schema(StructType([*own.schema.fields, *StructType.fromDDL(FOUND).fields])).parquet(path)
+    carried = [*inner, "base"]
+    hit = rows.where(F.size("hits") > 0).select(*carried, "row").join(resolved(rows, terms), "row", "left").select(*carried, "terms")
+    none = F.lit(None).cast("array<struct<a: int, b: int, removed: boolean>>").alias("terms")
+    touched = rows.where((F.size("hits") == 0) & (F.col("base") != "")).select(*carried, none).unionByName(hit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            told = zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("text", "base", "terms")), strict=True)
-            new = [redact(*x) for x in told]
-            cols = {n: b.column(b.schema.get_field_index(n)) for n in names}
-            cols["text"] = pa.array(new, pa.string())
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([len(t) for t in new], pa.int64()).cast(cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
-
-    arrow(spark)
-    return rows.where(F.col("base") == "").select(*names).unionByName(touched.mapInArrow(run, docs.schema))
+            old, cols = b.column(text).to_pylist(), list(b.columns[: len(names)])
+            new = [x if x is None else redact(x, *y) for x, *y in zip(old, b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True)]
+            cols[text] = pa.array(new, pa.string())
+            if chars >= 0:
+                told = [n if x == y else len(y) for x, y, n in zip(old, new, cols[chars].to_pylist(), strict=True)]
+                cols[chars] = pa.array(told, pa.int64()).cast(cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, inner)
+
+    same = rows.where((F.size("hits") == 0) & (F.col("base") == "")).select(*inner)
+    return same.unionByName(touched.mapInArrow(run, own.schema)).toDF(*names)
