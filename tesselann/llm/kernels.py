@@ -86,3 +86,21 @@ def batches(texts: list[str | None], overlap: int = 0) -> Iterator[tuple[np.ndar
             at = at + int(begins[-back]) if back else end
     if own:
         yield flush()
+
+
+def whole(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(which text, hash)`` of words as from ``batches``, but a long text's words all come together."""
+    long: list[np.ndarray] = []
+    now = -1
+    for which, _, h in batches(texts):
+        many = len(h) > 0 and which[0] == which[-1]
+        if long and not (many and which[0] == now):
+            yield np.full(sum(map(len, long)), now), np.concatenate(long)
+            long = []
+        if many:
+            now = int(which[0])
+            long.append(h)
+        elif len(h):
+            yield which, h
+    if long:
+        yield np.full(sum(map(len, long)), now), np.concatenate(long)

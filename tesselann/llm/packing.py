@@ -12,6 +12,7 @@ length.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,12 +29,16 @@ from .shared import arrow, columns, kept
 
 WINDOW, END = 2048, 1
 SPECIAL = "<|endoftext|>"
+#: White space in a row from which on the exact tokenizer reads a text.
+RUN = 1 << 14
+BLANKS = re.compile(rf"\s{{{RUN}}}")
 
 
 @lru_cache
 def encoder(name: str = "byte_bpe_50k"):
     """Ids of a text by the public tokenizer ``name``. The rank file has the same vocabulary and merges as the tokenizer
-    file and is read several times faster; only texts that hold the special token's string need the latter."""
+    file and is read several times faster. Texts that hold the special token's string need the latter, and so do those
+    with a very long run of white space, on which the former's pattern runs out of stack."""
     import public_tokenizers as public
     import tiktoken
 
@@ -42,7 +47,7 @@ def encoder(name: str = "byte_bpe_50k"):
     exact: list = []
 
     def encode(text: str) -> list[int]:
-        if SPECIAL not in text:
+        if SPECIAL not in text and not (len(text) > RUN and BLANKS.search(text)):
             return fast.encode_ordinary(text)
         if not exact:
             from tokenizers import Tokenizer

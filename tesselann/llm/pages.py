@@ -8,6 +8,7 @@ particular words of the text.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +40,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         p = nodes[i].parent
         for v in (size, link, words, stops, count):
             v[p] += v[i]
+    tags = [Counter(nodes[k].tag for k in x.children) for x in nodes]
     marks = [None] * n
     total = max(1, size[0])
     rows = []
@@ -49,7 +51,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         marks[i] = [a or o for a, o in zip(above, own, strict=True)]
         parent = nodes[x.parent] if i else x
         kin = parent.children if i else [0]
-        same = sum(nodes[k].tag == x.tag for k in kin[:64])
+        same = tags[x.parent][x.tag] if i else 1
         around = max(1, size[x.parent if i else 0])
         rows.append([
             x.depth, np.log1p(x.own), np.log1p(size[i]), link[i] / max(1, size[i]), x.linked / max(1, x.own), np.log1p(words[i]), stops[i] / max(1, words[i]), size[i] / max(1, words[i]), np.log1p(count[i]), size[i] / total, x.before / total,
