@@ -104,7 +104,9 @@ def read(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag == "a":
             links = 1
-        elif tag in ("br", "hr"):
+        elif tag == "br":  # no block of its own: white space
+            pieces.append((stack[-1], " "))
+        elif tag == "hr":
             pieces.append((stack[-1], ""))
         if tag not in BLOCK:
             continue

@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -43,11 +42,15 @@ def simhash(text: str | None, width: int = 3, block: int = 1 << 15) -> int:
         return 0
     many = max(1, len(words) - width + 1)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else iter([b" ".join(words)])
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, many)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, many), block)
+
+
+def majority(h: np.ndarray, block: int = 1 << 15) -> int:
+    """The number whose bits are those set in over half of ``h``."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, many, block):
+    for i in range(0, len(h), block):
         ones += np.unpackbits(h[i : i + block].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > many).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -132,22 +135,27 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(x: np.ndarray, radius: int, mask: np.uint64, r: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the components of distinct ``x`` under distance ``radius``, so far as ``mask`` can find them."""
-    label = np.arange(len(x))
-    todo = [np.arange(len(x))]
+    todo, found = [np.arange(len(x))], []
     while todo:
         own = todo.pop()
         if len(own) > DIRECT and (v := vantage(x[own], mask, r)):
             d = distance(x[own], v[0], mask)
             todo += [own[d <= v[1] + r], own[d > v[1]]]
             continue
+        # a leaf has labels of its own, so that its work doesn't grow with the shard
+        label = np.arange(len(own))
         for i in range(0, len(own), DIRECT):
-            rows = own[i : i + DIRECT]
+            rows = np.arange(i, min(len(own), i + DIRECT))
             for j in range(i, len(own), 4096):
-                cols = own[j : j + 4096]
-                a, b = np.nonzero(np.bitwise_count(x[rows][:, None] ^ x[cols][None, :]) <= radius)
+                cols = np.arange(j, min(len(own), j + 4096))
+                a, b = np.nonzero(np.bitwise_count(x[own[rows]][:, None] ^ x[own[cols]][None, :]) <= radius)
                 # in the first block each row matches itself
                 if len(a) > (len(rows) if j == i else 0):
                     label = joined(label, rows[a], cols[b])
+        moved = np.nonzero(label != np.arange(len(own)))[0]
+        found.append(np.stack([own[moved], own[label[moved]]]))
+    a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
+    label = joined(np.arange(len(x)), a, b) if len(a) else np.arange(len(x))
     moved = np.nonzero(label != np.arange(len(x)))[0]
     return x[moved], x[label[moved]]
 
@@ -194,12 +202,3 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     lows = whole.groupBy("root").agg(F.min("low").alias("component_id"))
     own = whole.join(lows, "root").select("fp", "component_id")
     return prints.join(own, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id. Of rows that repeat a doc_id one stays;
-    rows without doc_id stay."""
-    near = near_duplicates(docs, radius, width).where("doc_id = component_id").select("doc_id").distinct()
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    stay = docs.join(near, "doc_id", "left_semi").withColumn("__first", F.row_number().over(first)).where("__first = 1").select(*docs.columns)
-    return stay.unionByName(docs.where("doc_id IS NULL"))
