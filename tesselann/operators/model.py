@@ -16,6 +16,8 @@ from .arrays import matrix
 
 SCHEMA = "r int, epoch int, layer string, shape array<int>, data array<float>"
 LAYERS = ("w1", "b1", "w2", "b2")
+#: Scores held at once; a batch of rows is worked through in chunks of this size over the number of buckets.
+SCORES = 1 << 22
 
 
 @dataclass
@@ -26,11 +28,22 @@ class Weights:
     b2: np.ndarray
 
     def logits(self, x: np.ndarray) -> np.ndarray:
+        x = x.astype(self.w1.dtype, copy=False)
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     def top(self, x: np.ndarray, k: int) -> np.ndarray:
-        """The ``k`` best buckets of each row, higher logits first, then lower buckets."""
-        return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :k]
+        """The ``k`` best buckets of each row, higher logits first, then lower buckets; chunk by chunk."""
+        k, rows = min(k, self.b2.shape[0]), max(1, SCORES // self.b2.shape[0])
+        return np.concatenate([np.zeros((0, k), np.int64), *(best_columns(self.logits(x[at : at + rows]), k) for at in range(0, len(x), rows))])
+
+
+def best_columns(s: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the ``k`` highest scores of each row, lower columns first among equals; only these are sorted."""
+    n = s.shape[1]
+    row, col = np.nonzero(s >= np.partition(s, n - k, axis=1)[:, n - k, None])
+    order = np.lexsort((col, -s[row, col], row))
+    row, col = row[order], col[order]
+    return col[np.arange(len(row)) - np.searchsorted(row, row) < k].reshape(len(s), k)
 
 
 def formula_weights(r: int, dims: int, hidden: int, buckets: int) -> Weights:
@@ -55,7 +68,7 @@ def from_table(table: DataFrame, epoch: int | None = None) -> list[Weights]:
     """The models of ``epoch``, or of the last one."""
     if epoch is None:
         epoch = table.agg(F.max("epoch")).first()[0]
-    rows = table.where(F.col("epoch") == epoch).collect()
+    rows = table.where((F.col("epoch") == epoch) & F.col("layer").isin(*LAYERS)).collect()
     if not rows:
         raise ValueError(f"no model of epoch {epoch}")
     held: dict[int, dict] = {}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,27 @@ from ..config import IndexConfig, Metric
 from ..operators import candidates as C
 from ..operators import model as M
 from ..operators import partition as P
-from ..operators.arrays import collected
+from ..operators.arrays import matrix
 from ..operators.knn import exact_knn
 from ..operators.rerank import rerank
-from ..operators.train import train
+from ..operators.train import ended, train
+from ..sources.tables import cached, exists
+
+
+def nearest(own: DataFrame, neighbours: int, metric: Metric) -> DataFrame:
+    """``(item, near array<int>)``: the nearest ``neighbours`` of each row of ``own``, by their positions among its ids in
+    order. The ids go to every task; they are a sample's."""
+    ids = np.sort(own.select("item").toArrow().column("item").to_numpy())
+    told = own.sparkSession.sparkContext.broadcast(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            at = np.searchsorted(told.value, lists.flatten().to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int32), pa.array(at))], ["item", "near"])
+
+    found = exact_knn(own, own, neighbours, metric).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rk", "item"))).alias("x"))
+    return found.select("qid", F.col("x.item")).mapInArrow(run, "item long, near array<int>")
 
 
 @dataclass
@@ -33,18 +52,41 @@ class PartitionIndex:
         return cls(config, metric, models, P.assign_least_loaded(M.score_top(vectors, models, config.choices), config.buckets, block))
 
     @classmethod
-    def learn(cls, vectors: DataFrame, config: IndexConfig, metric: Metric, sample: int = 1_000_000, neighbours: int = 100, batch: int = 5000, seed: int = 0) -> PartitionIndex:
+    def hashed(cls, vectors: DataFrame, config: IndexConfig, metric: Metric) -> PartitionIndex:
+        """An index without models: items, and queries that are items, are in the buckets of their ids' hashes."""
+        return cls(config, metric, [], P.hash_partition(vectors, config.repetitions, config.buckets))
+
+    @classmethod
+    def learn(
+        cls, vectors: DataFrame, config: IndexConfig, metric: Metric, sample: int = 1_000_000, neighbours: int = 100, batch: int = 5000, seed: int = 0, block: int | None = None, work: str | None = None, resume: bool = False
+    ) -> PartitionIndex:
         """Train on a sample of at most ``sample`` rows and their exact nearest ``neighbours``, themselves included, then
         build over all. Small data need few neighbours and more choices, or the partition collapses: see load_balance.
-        The driver and every training task hold the sample and its neighbours: with 100 dimensions and neighbours, 800
-        bytes a sample row."""
+
+        The folder ``work`` keeps the sample with its neighbours, computed once whoever asks again, and the end of every
+        round; ``resume`` goes on from the last of these. The driver and every training task hold the sample in single
+        precision and its neighbours' positions: with 100 dimensions and neighbours, 800 bytes a sample row."""
         spark = vectors.sparkSession
-        own = vectors.join(M.sample_rows(vectors, sample, seed).select("item"), "item", "left_semi")
-        ids, x = collected(own)
-        truth = exact_knn(own, own, neighbours, metric)
-        near = truth.orderBy("qid", "rk").select("item").toArrow().column("item").to_numpy().reshape(len(ids), -1)
-        models, _ = train(spark, config, ids, x, np.searchsorted(ids, near).astype(np.int32), batch)
-        return cls.build(vectors, config, metric, M.from_table(models.drop("loss"), config.epochs))
+
+        def found() -> DataFrame:
+            own = vectors.join(M.sample_rows(vectors, sample, seed).select("item"), "item", "left_semi").persist()
+            return own.join(nearest(own, neighbours, metric), "item")
+
+        rows = cached(spark, f"{work}/sample-{sample}-{neighbours}-{seed}", found) if work else found()
+        t = rows.toArrow().combine_chunks()
+        order = np.argsort(t.column("item").to_numpy())
+        ids, x = t.column("item").to_numpy()[order], matrix(t.column("vec").combine_chunks(), np.float32)[order]
+        near = matrix(t.column("near").combine_chunks(), np.int32)[order]
+        del t
+        path = f"{work}/training" if work else None
+        last = ended(spark.read.parquet(path)) if resume and path and exists(spark, path) else None
+        if last and last[0] >= config.epochs:
+            return cls.build(vectors, config, metric, M.from_table(spark.read.parquet(path), config.epochs), block)
+        trained = train(spark, config, ids, x, near, batch, last)
+        if path:
+            trained.write.mode("append" if last else "overwrite").parquet(path)
+            trained = spark.read.parquet(path)
+        return cls.build(vectors, config, metric, M.from_table(trained.persist(), config.epochs), block)
 
     def save(self, path: str) -> None:
         """Two tables: ``models``, and ``postings`` by repetition, sorted by bucket so that a probe reads few row groups."""
@@ -60,10 +102,15 @@ class PartitionIndex:
         meta = spark.read.parquet(f"{path}/meta").first()
         config = IndexConfig.parse(meta.name, hidden=meta.hidden, every=meta.every)
         rows = spark.read.parquet(f"{path}/postings").select(F.col("r").cast("int").alias("r"), "item", "bucket")
-        return cls(config, Metric(meta.metric), M.from_table(spark.read.parquet(f"{path}/models")), rows)
+        models = spark.read.parquet(f"{path}/models")
+        return cls(config, Metric(meta.metric), [] if models.isEmpty() else M.from_table(models), rows)
 
     def probes(self, queries: DataFrame, topm: int) -> DataFrame:
-        """``(qid, r, k, bucket)``: the ``topm`` best buckets of each query in each repetition."""
+        """``(qid, r, k, bucket)``: the ``topm`` best buckets of each query in each repetition; without models, the one of
+        its hash."""
+        if not self.models:
+            own = P.hash_partition(queries, self.config.repetitions, self.config.buckets)
+            return own.select(F.col("item").alias("qid"), "r", F.lit(0).alias("k"), "bucket")
         return M.exploded(M.score_top(queries, self.models, topm)).withColumnRenamed("item", "qid")
 
     def hits(self, queries: DataFrame, topm: int) -> DataFrame:

@@ -7,7 +7,9 @@ from tesselann.operators import evaluate as E
 from tesselann.operators import model as M
 from tesselann.operators import partition as P
 from tesselann.operators.knn import exact_knn
-from tesselann.operators.train import rounds, train
+from tesselann.operators import knn
+from tesselann.operators.rerank import rerank
+from tesselann.operators.train import RATE, Trainer, assignments, ended, initial, loss, rounds, train, training_log
 from tesselann.plans.index import PartitionIndex
 from tesselann.sources.npy import NpySource
 from tesselann.sources.tables import append_metrics, cached, load_queries, load_truth, load_vectors, training_sample, with_norms
@@ -58,23 +60,125 @@ def test_learned_beats_hash(vectors):
     assert P.load_balance(own.assignment, 3, 16).agg(F.max("max_load")).first()[0] < 60
 
 
-def test_resume():
+def small(epochs, rows=40):
     rng = np.random.default_rng(0)
-    x, near = rng.normal(size=(40, 6)).astype(np.float32), rng.integers(0, 40, (40, 3))
-    config = IndexConfig("x", 10, 2, 4, 1, 8)
-    got = list(rounds(config, 0, np.arange(40), x, near, 16))
-    assert [g[0] for g in got] == [5, 10] and got[1][3] < got[0][3]
-    first = got[0]
-    again = list(rounds(config, 0, np.arange(40), x, near, 16, first[1], first[2], 5))
-    assert [g[0] for g in again] == [10] and np.bincount(again[0][2], minlength=4).sum() == 40
+    x, near = rng.normal(size=(rows, 6)).astype(np.float32), rng.integers(0, rows, (rows, 3)).astype(np.int32)
+    return IndexConfig("x", epochs, 2, 4, 2, 8), np.arange(100, 100 + rows), x, near
+
+
+def test_resume():
+    """A run that goes on from an earlier end equals one without a break."""
+    config, ids, x, near = small(10)
+    whole = list(rounds(config, 0, ids, x, near, 16))
+    assert [g[0] for g in whole] == [5, 10] and whole[1][3] < whole[0][3]
+    epoch, state, bucket, _ = whole[0]
+    again = list(rounds(config, 0, ids, x, near, 16, state | {"bucket": bucket}, epoch))
+    assert [g[0] for g in again] == [10] and np.array_equal(again[0][2], whole[1][2]) and again[0][3] == whole[1][3]
+    assert all(np.array_equal(again[0][1][n], a) for n, a in whole[1][1].items())
+
+
+def test_train_tables(spark, tmp_path):
+    config, ids, x, near = small(5)
+    rows = train(spark, config, ids, x, near, 16)
+    assert len(M.from_table(rows)) == 2
+    own = assignments(rows, ids)
+    assert own.where("epoch = 5").count() == 80 and own.agg(F.min("item")).first()[0] == 100
+    assert training_log(rows).count() == 2 and training_log(rows).where("loss > 0 AND seconds > 0").count() == 2
+    rows.write.parquet(f"{tmp_path}/t")
+    longer = IndexConfig("x", 10, 2, 4, 2, 8)
+    on = train(spark, longer, ids, x, near, 16, ended(spark.read.parquet(f"{tmp_path}/t")))
+    want = train(spark, longer, ids, x, near, 16)
+    for a, b in zip(M.from_table(on), M.from_table(want), strict=True):
+        assert np.array_equal(a.w1, b.w1) and np.array_equal(a.b2, b.b2)
+
+
+def test_gradients():
+    """Against finite differences of the loss, in double precision."""
+    rng = np.random.default_rng(1)
+    w = M.Weights(*(rng.normal(size=s) for s in ((5, 7), (7,), (7, 4), (4,))))
+    x, y = rng.normal(size=(6, 5)), (rng.random((6, 4)) < 0.3).astype(float)
+    grads, mean = Trainer(w).gradients(x, y)
+    assert mean == pytest.approx(loss(w.logits(x), y))
+    plain = -(y * np.log(1 / (1 + np.exp(-w.logits(x)))) + (1 - y) * np.log(1 - 1 / (1 + np.exp(-w.logits(x))))).mean()
+    assert mean == pytest.approx(plain)
+    for n in M.LAYERS:
+        a = getattr(w, n)
+        for at in list(np.ndindex(a.shape))[:: max(1, a.size // 9)]:
+            old, eps, found = a[at], 1e-6, []
+            for d in (eps, -eps):
+                a[at] = old + d
+                found.append(loss(w.logits(x), y))
+            a[at] = old
+            assert grads[n][at] == pytest.approx((found[0] - found[1]) / (2 * eps), abs=1e-7)
+
+
+def test_adam_and_start():
+    """The first step of Adam moves each weight by the rate; initial weights stay within two deviations of 0.05."""
+    w = initial(6, 8, 4, 1)
+    values = np.concatenate([getattr(w, n).ravel() for n in M.LAYERS])
+    assert np.abs(values).max() <= 0.1 + 1e-6 and 0.03 < values.std() < 0.06
+    rng = np.random.default_rng(2)
+    trainer = Trainer(w)
+    before = {n: getattr(w, n).copy() for n in M.LAYERS}
+    x, y = rng.normal(size=(9, 6)).astype(np.float32), np.eye(4, dtype=np.float32)[rng.integers(0, 4, 9)]
+    grads, _ = trainer.gradients(x, y)
+    trainer.step(x, y)
+    # eps is added to the root of v before the correction of the moments
+    step = lambda g: RATE * np.sqrt(1 - 0.999) / 0.1 * 0.1 * g / (np.sqrt(0.001 * g * g) + 1e-8)
+    for n in M.LAYERS:
+        assert np.allclose(before[n] - getattr(trainer.w, n), step(grads[n]), atol=1e-6)
+
+
+def test_learn_again(spark, vectors, tmp_path):
+    """The sample and its neighbours are computed once; a resumed index equals one learned at a stretch."""
+    make = lambda epochs, work, **more: PartitionIndex.learn(vectors, IndexConfig("e", epochs, 4, 8, 2, 16), Metric.COSINE, sample=120, neighbours=5, batch=50, work=work, **more)
+    make(5, f"file://{tmp_path}/a")
+    on, whole = make(10, f"file://{tmp_path}/a", resume=True), make(10, f"file://{tmp_path}/b")
+    assert all(np.array_equal(x.w2, y.w2) for x, y in zip(on.models, whole.models, strict=True))
+    assert sorted(map(tuple, on.assignment.collect())) == sorted(map(tuple, whole.assignment.collect()))
+    near = spark.read.parquet(f"file://{tmp_path}/a/sample-120-5-0")
+    assert near.count() == 120 and near.where("size(near) = 5").count() == 120
+
+
+def test_hashed_index(spark, vectors, tmp_path):
+    config = IndexConfig("embeddings", 0, 1, 8, 3, 16)
+    own = PartitionIndex.hashed(vectors, config, Metric.COSINE)
+    own.save(f"file://{tmp_path}/h")
+    other = PartitionIndex.load(spark, f"file://{tmp_path}/h")
+    q = vectors.where("item % 20 = 0")
+    found = [sorted(map(tuple, i.search(q, vectors, mf=3).select("qid", "rk", "item").collect())) for i in (own, other)]
+    assert found[0] == found[1] and {(x, 1, x) for x in range(0, 200, 20)} <= set(found[0])
 
 
-def test_train_tables(spark):
+def test_best_columns(monkeypatch):
     rng = np.random.default_rng(0)
-    x, near = rng.normal(size=(30, 4)).astype(np.float32), rng.integers(0, 30, (30, 3))
-    models, assigned = train(spark, IndexConfig("x", 5, 2, 4, 2, 8), np.arange(100, 130), x, near, 16)
-    assert len(M.from_table(models.drop("loss"))) == 2
-    assert assigned.where("epoch = 5").count() == 60 and assigned.agg(F.min("item")).first()[0] == 100
+    s = rng.integers(0, 5, (50, 40)).astype(float)
+    for k in (1, 3, 39, 40):
+        assert np.array_equal(M.best_columns(s, k), np.argsort(-s, axis=1, kind="stable")[:, :k])
+    w = M.formula_weights(0, 6, 5, 64)
+    x = rng.normal(size=(33, 6))
+    want = np.argsort(-w.logits(x), axis=1, kind="stable")[:, :4]
+    held = []
+    logits = M.Weights.logits
+    monkeypatch.setattr(M, "SCORES", 64 * 5)
+    monkeypatch.setattr(M.Weights, "logits", lambda self, x: held.append(len(x)) or logits(self, x))
+    assert np.array_equal(w.top(x, 4), want) and max(held) == 5 and w.top(x[:0], 4).shape == (0, 4)
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_rerank_in_blocks(vectors, index, metric, monkeypatch):
+    q = vectors.where("item % 3 = 0")
+    found = index.candidates(q, 3, 2)
+    rows = lambda v: sorted((x.qid, x.rk, x.item, round(x.score, 9)) for x in rerank(found, v, q, 5, metric).collect())
+    want = rows(vectors)
+    assert len(want) > 200 and rows(with_norms(vectors)) == want
+    monkeypatch.setattr(knn, "QUERIES", 16)
+    assert rows(vectors) == want and rows(with_norms(vectors)) == want
+    # one pass over candidates and vectors, however many blocks
+    plan = lambda: rerank(found, vectors, q, 5, metric)._jdf.queryExecution().logical().toString().count("MapInArrow")
+    many = plan()
+    monkeypatch.setattr(knn, "QUERIES", 4)
+    assert plan() == many
 
 
 def test_npy(spark, tmp_path):
@@ -87,6 +191,16 @@ def test_npy(spark, tmp_path):
         assert [r.vec for r in rows] == x.tolist()
 
 
+def test_npy_written(spark, vectors, tmp_path):
+    spark.dataSource.register(NpySource)
+    vectors.orderBy("item").write.format("npy").mode("append").option("path", f"{tmp_path}/m").save()
+    back = spark.read.format("npy").option("path", f"{tmp_path}/m").load()
+    key = lambda df: sorted((r.item, tuple(r.vec)) for r in df.collect())
+    assert key(back) == key(vectors)
+    whole = np.concatenate([np.load(f) for f in sorted(tmp_path.glob("m/*.npy"))])
+    assert whole.tolist() == [list(r.vec) for r in vectors.orderBy("item").collect()] and not list(tmp_path.glob("m/*.raw"))
+
+
 def test_cached_and_metrics(spark, tmp_path):
     calls = []
     for _ in range(2):
@@ -119,7 +233,12 @@ def test_command_line(spark, vectors, tmp_path):
 
     vectors.where("item < 60").withColumnsRenamed({"item": "vec_id", "vec": "embedding"}).write.parquet(f"{tmp_path}/v")
     common = ["--index", "x_epc5_K2_B4_R2", "--vectors", f"{tmp_path}/v", "--path", f"file://{tmp_path}/i", "--hidden", "8"]
-    cli.main(["learn", *common, "--neighbours", "5", "--batch", "20"])
+    cli.main(["learn", *common, "--neighbours", "5", "--batch", "20", "--work", f"file://{tmp_path}/w", "--metrics", f"{tmp_path}/l"])
+    cli.main(["learn", *common, "--neighbours", "5", "--batch", "20", "--work", f"file://{tmp_path}/w", "--resume", "--block", "16"])
+    assert {x.metric for x in spark.read.parquet(f"{tmp_path}/l").collect()} == {"learn_seconds", "loss_5"}
+    cli.main(["query", *common, "--queries", f"{tmp_path}/v", "--topm", "4", "--first", "7", "--cap", "3", "--no-rerank", "--out", f"{tmp_path}/c"])
+    assert spark.read.parquet(f"{tmp_path}/c").count() == 21
     cli.main(["query", *common, "--queries", f"{tmp_path}/v", "--topm", "4", "--out", f"{tmp_path}/o", "--metrics", f"{tmp_path}/m"])
     assert spark.read.parquet(f"{tmp_path}/o").count() == 600
-    assert {x.metric: x.value for x in spark.read.parquet(f"{tmp_path}/m").collect()} == {"recall": 1.0, "candidates": 60.0}
+    told = {x.metric: x.value for x in spark.read.parquet(f"{tmp_path}/m").collect()}
+    assert told.pop("query_seconds") > 0 and told == {"recall": 1.0, "candidates": 60.0}
