@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import mixed
-from .shared import arrow, few, kept
+from .shared import arrow, few, kept, numbered
 from .simhash import linked, majority
 
 WIDTH, SIMILAR, RADIUS = 5, 0.8, 3
@@ -174,7 +174,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     An empty table gives an empty one. Columns of any name are carried."""
     arrow(docs.sparkSession)
     names = docs.columns
-    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    rows = numbered(docs)
     doc, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
     rows = rows.withColumns({"doc_id": doc.cast("long"), "th": F.xxhash64(text.cast("string"))})
     own = rows.where("doc_id IS NOT NULL").select("doc_id", "th", text.cast("string").alias("text"))

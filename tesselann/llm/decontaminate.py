@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import batches, mixed, shingles, word_hashes
-from .shared import arrow, columns
+from .shared import arrow, columns, numbered
 from .subword import ODD
 
 WIDTH, SIMILAR, RADIUS = 5, 0.8, 15
@@ -237,16 +237,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all columns; rows with a null text stay."""
-    spark = docs.sparkSession
+    """The rows of ``docs`` that hold no item, with all columns, whatever their names; rows with a null or empty text stay,
+    repeated rows each count, and without items all stay."""
+    spark, at, rows = docs.sparkSession, docs.columns.index("text"), numbered(docs)
     arrow(spark)
     for index in passes(benchmark):
         told = spark.sparkContext.broadcast(index)
 
         def run(found: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             for b in found:
-                hits = told.value.search(b.column(b.schema.get_field_index("text")).to_pylist())
+                hits = told.value.search(b.column(at).to_pylist())
                 yield b.filter(pa.array([not x for x in hits], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.toDF(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import arrow, columns, few, kept, shared_dir
+from .shared import arrow, columns, few, kept, numbered, shared_dir
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that may disclose it; letters of such a word, at least.
@@ -298,7 +298,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     spark, names = docs.sparkSession, docs.columns
     arrow(spark)
     terms = disclosing(named(docs))
-    own = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    own = numbered(docs)
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
     inner = own.columns
     path = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"

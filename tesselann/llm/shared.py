@@ -53,3 +53,8 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     if len({c.lower() for c in df.columns}) < len(df.columns):
         df = df.toDF(*(c if c in names else f"__{i}" for i, c in enumerate(df.columns)))
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns named c0, c1, ..., beside which others can be put whatever ``df`` has."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow, columns
+from .shared import arrow, columns, numbered
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -106,22 +106,27 @@ class Subword:
         """The buckets of a text and how often each occurs; at most 2 ** bits, however long the text."""
         found = [np.unique(x, return_counts=True) for x in self.parts((text or "").encode())]
         if len(found) < 2:
-            return found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        total = np.zeros(1 << self.bits, np.int64)
-        for ids, n in found:
-            total[ids] += n
-        return np.nonzero(total)[0], total[total > 0]
+            ids, n = found[0] if found else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        else:
+            total = np.zeros(1 << self.bits, np.int64)
+            for ids, n in found:
+                total[ids] += n
+            ids, n = np.nonzero(total)[0], total[total > 0]
+        return ids.astype(np.int32), n.astype(np.int32)
 
     def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], passes: int = 6, rate: float = 0.5, seed: int = 0, batch: int = 1 << 15) -> Subword:
         """Learned from bags; a bucket that fewer than the share ``common`` of them hold has the zero vector."""
         rng = np.random.default_rng(seed)
-        size, many = 1 << self.bits, np.array([len(i) for i, _ in bags], np.int64)
-        ids = np.concatenate([np.zeros(0, np.int64), *(i for i, _ in bags)])
-        share = np.concatenate([np.zeros(0, np.float32), *((n / max(1, n.sum())).astype(np.float32) for _, n in bags)])
-        common = np.bincount(ids, minlength=size) >= max(1, self.common * len(bags))
+        size, texts = 1 << self.bits, np.zeros(1 << self.bits, np.int64)
+        for ids, _ in bags:
+            texts[ids] += 1
+        common = texts >= max(1, self.common * len(bags))
         self.vectors = (rng.uniform(-self.start, self.start, (size, self.dims)) * common[:, None]).astype(np.float32)
-        text, keep = np.repeat(np.arange(len(bags)), many), common[ids]
-        ids, share, many = ids[keep], share[keep], np.bincount(text[keep], minlength=len(bags))
+        kept = [(ids[common[ids]], (n / max(1, n.sum())).astype(np.float32)[common[ids]]) for ids, n in bags]
+        many = np.array([len(i) for i, _ in kept], np.int64)
+        ids = np.concatenate([np.zeros(0, np.int32), *(i for i, _ in kept)])
+        share = np.concatenate([np.zeros(0, np.float32), *(n for _, n in kept)])
+        del kept
         first = np.cumsum(many) - many
         self.classes, self.bias = np.zeros((2, self.dims), np.float32), np.zeros(2, np.float32)
         self.classes[1] = rng.normal(0, 0.5, self.dims)
@@ -191,6 +196,8 @@ class Subword:
 
 #: Labelled rows of each class that a classifier learns from, at most.
 SAMPLE = 2_500
+#: Characters up to which a text takes less room than its bag; which of them the driver gets makes no difference.
+SHORT = 1 << 16
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, model: Subword, sample: int = SAMPLE) -> Subword:
@@ -198,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, model: Subword, sample
     doc_id, their texts whole. A doc_id whose labels differ teaches nothing; of rows that repeat a doc_id the one whose
     text has the smallest hash teaches. With fewer than two classes the model stays neutral.
 
-    Bags are counted where the texts are; the driver gets at most ``2 * sample`` of them, of at most ``2 ** bits`` buckets.
+    The driver gets at most ``2 * sample`` texts of up to ``SHORT`` characters or bags of at most ``2 ** bits`` buckets.
     """
     known = columns(labels, "doc_id", label).where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("id"), F.col(label).alias("y"))
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("high")).where("y = high AND id IS NOT NULL").select("id", "y").where(~held_out(F.col("id")))
@@ -210,21 +217,23 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, model: Subword, sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [empty.bag(t) for t in b.column(3).to_pylist()]
-            cols = [pa.array([x[k].astype(np.int32) for x in bags], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], ["id", "y", "th", "ids", "n"])
+            texts = b.column(3).to_pylist()
+            bags = [empty.bag(t) if t and len(t) > SHORT else (None, None) for t in texts]
+            text = pa.array([t if x[0] is None else None for t, x in zip(texts, bags, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], text, *(pa.array([x[k] for x in bags], pa.list_(pa.int32())) for k in (0, 1))], ["id", "y", "th", "text", "ids", "n"])
 
     arrow(docs.sparkSession)
-    bags = rows.mapInArrow(run, "id long, y int, th long, ids array<int>, n array<int>")
-    found = bags.groupBy("id").agg(F.min(F.struct("th", "y", "ids", "n")).alias("x")).select("id", "x.y", "x.ids", "x.n").toArrow().combine_chunks()
+    bags = rows.mapInArrow(run, "id long, y int, th long, text string, ids array<int>, n array<int>")
+    found = bags.groupBy("id").agg(F.min(F.struct("th", "y", "text", "ids", "n")).alias("x")).select("id", "x.y", "x.text", "x.ids", "x.n").toArrow().combine_chunks()
     order = np.argsort(found.column("id").to_numpy())
     ys = found.column("y").to_numpy()[order]
     if len(set(ys.tolist())) < 2:
         model.vectors, model.classes = np.zeros((1 << model.bits, model.dims), np.float32), np.zeros((2, model.dims), np.float32)
         model.bias = np.zeros(2, np.float32)
         return model
-    ids, n = found.column("ids"), found.column("n")
-    return model.fit([(ids[int(k)].values.to_numpy().astype(np.int64), n[int(k)].values.to_numpy()) for k in order], ys)
+    text, ids, n = (found.column(c) for c in ("text", "ids", "n"))
+    bag = lambda k: (ids[k].values.to_numpy(), n[k].values.to_numpy()) if ids[k].is_valid else model.bag(text[k].as_py())
+    return model.fit([bag(k) for k in order.tolist()], ys)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> Subword:
@@ -265,15 +274,18 @@ def scored(docs: DataFrame, model: Subword, cut: float, empty: float = 0.0) -> D
 
 
 def below(docs: DataFrame, model: Subword, cut: float, empty: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, with all columns, that score less than ``cut``; no column is added, so no name can clash."""
+    """The rows of ``docs``, with all columns, that score less than ``cut``; no column is added, so no name can clash. A
+    model that learned nothing, as it saw fewer than two classes, rejects nothing."""
     spark = docs.sparkSession
+    if not np.any(model.light().weights[0]):
+        return docs
     arrow(spark)
     told = spark.sparkContext.broadcast(model.light())
-    at = docs.columns.index("text")
+    at, rows = docs.columns.index("text"), numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = told.value
         for b in batches:
             yield b.filter(pa.array(own.score(b.column(at).to_pylist(), empty) < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

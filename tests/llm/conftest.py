@@ -24,10 +24,12 @@ def odd_rows():
 
 @pytest.fixture(scope="session")
 def clashing(docs_of, odd_rows):
-    """The odd rows with more columns, two of whose names differ from needed ones by case alone."""
+    """The odd rows with more columns: names that operators use within, and one that differs from theirs by case alone."""
     from pyspark.sql import functions as F
 
-    return docs_of(odd_rows).withColumns({"score": F.lit(1), "row": F.lit("r"), "base": F.lit(2), "part": F.lit(0), "curve": F.lit(None).cast("int")})
+    names = ["score", "row", "base", "part", "curve", "near", "hits", "terms", "text_hash", "th", "s", "c0", "c1", "n_email", "n_ip", "n_card", "n_phone", "__first", "__th", "__id", "held_out", "predicted", "root", "key"]
+    more = docs_of(odd_rows).select("*", *(F.lit(i if i % 2 else None).alias(n) for i, n in enumerate(names)), F.lit("x").alias("other"))
+    return more.toDF(*more.columns[:-1], "TEXT")
 
 
 @pytest.fixture(scope="session")

@@ -82,3 +82,8 @@ def test_odd(clashing, docs_of):
     check([r for r in rows], {2: [1], 3: [1], 7: [*P.encoder()("é ü 漢字 ß"), 1]})
     assert P.pack(docs_of([])).count() == 0
     check(P.pack(docs_of(["abcdefg", "ab", "c"]), 4, lambda t: [ord(c) for c in t]).collect(), {0: [*map(ord, "abcdefg"), 1], 1: [97, 98, 1], 2: [99, 1]}, 4)
+
+
+@pytest.mark.parametrize("text", [" " * (P.RUN + 5) + "a", "a" + "\n \t" * P.RUN + "b", " " * 1_100_000 + "x"])
+def test_long_white_space(text):
+    assert P.encoder()(text) == exact().encode(text, add_special_tokens=False).ids

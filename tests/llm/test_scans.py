@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -135,12 +136,13 @@ def base_labels(text):
 
 
 def test_licences(sample, clashing, docs_of, monkeypatch):
-    texts = ["Released under the MIT License.", "the mit-license; MIT  LICENSE", "cc cc by cc by", "GNU General\nPublic License", "apache licenses", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "Licensed under CC BY-NC 4.0.", "All rights reserved.", "rights all reserved", ""]
+    mit = L.TEMPLATES["mit"][1][0]
+    texts = ["Released under the MIT License.", "the mit-license; MIT  LICENSE", "cc cc by cc by", "GNU General\nPublic License", "apache licenses", "Permission is hereby granted, free of charge, to any individual person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "Licensed under CC BY-NC 4.0.", "All rights reserved.", "rights all reserved", "", mit.replace("substantial", "").replace("sublicense", "lend out")]
     rows = L.scan(docs_of(texts)).orderBy("doc_id").collect()
     for r, t in zip(rows, texts, strict=True):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_labels(t)
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
-    assert rows[5].labels == "mit" and rows[6].labels == "cc-by,cc-by-nc" and rows[7].labels == "all-rights-reserved" and rows[8].labels == "" and rows[9].score == 0
+    assert rows[5].labels == "mit" and rows[6].labels == "cc-by,cc-by-nc" and rows[7].labels == "all-rights-reserved" and rows[8].labels == "" and rows[9].score == 0 and rows[10].labels == "mit"
     want = {r.doc_id: base_labels(r.text) for r in sample.collect()}
     assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in L.scan(sample).collect()} == want
     assert L.scan(clashing).count() == 11 and L.scan(docs_of([])).count() == 0
@@ -149,10 +151,69 @@ def test_licences(sample, clashing, docs_of, monkeypatch):
     index = L.Index()
     for t in (" ".join(["pad"] * 30 + [x] + ["end"] * 30) for x in texts):
         n, base, _ = index.scan([t])[0]
-        at = sorted(p for p, _ in base)
+        at = sorted(p for x in base for p in x.tolist())
         assert (n, len(at), at[0] if at else None) == base_labels(t)[:3]
 
 
+def in_order(a, b):
+    """Length of the longest common subsequence, by the textbook."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def plain_labels(text, templates):
+    """All windows of a notice's longest stretch, without an index."""
+    w, out = words(text), set()
+    for label, (keys, notices) in templates.items():
+        for notice in notices:
+            t = notice.split()
+            span, need = max(len(t), int(L.STRETCH * len(t))), -(-len(t) * 8 // 10)
+            for i in range(max(1, len(w) - span + 1)):
+                part = w[i : i + span]
+                if in_order(t, part) >= need and any(k.split() == part[j : j + len(k.split())] for k in keys for j in range(len(part))):
+                    out.add(label)
+                    break
+    return out
+
+
+def test_edited_notices():
+    """Labels of notices with words added, changed and left out, in a text of licence words, against all windows."""
+    import random
+
+    rng = random.Random(4)
+    templates = {k: (keys, [n for n in notices if len(n.split()) < 45][:2]) for k, (keys, notices) in L.TEMPLATES.items() if k in ("mit", "bsd", "isc", "cc0", "apache", "unlicense")}
+    some = L.vocabulary(templates)
+    index, found = L.Index(templates=templates), 0
+    for _ in range(60):
+        label = rng.choice(sorted(templates))
+        t = rng.choice(templates[label][1]).split()
+        for _ in range(rng.randint(0, max(1, len(t) // 4))):
+            i = rng.randrange(len(t))
+            t[i : i + rng.randint(0, 1)] = rng.choice(([], [rng.choice(some)], ["other"]))
+        text = " ".join([*rng.choices(some, k=rng.randint(0, 20)), *t, *rng.choices(some, k=rng.randint(0, 20))])
+        want = plain_labels(text, templates)
+        got = {m[0] for m in index.scan([text])[0][2]}
+        # a stretch found must be one; what a key phrase decides may lie beyond the least that is enough
+        assert got <= want and (got >= want or label not in want or got == want), (text, got, want)
+        found += label in got
+    assert found > 25
+
+
+def test_hostile():
+    """Very many phrases and half notices take seconds, not hours."""
+    import time
+
+    began = time.monotonic()
+    half = " ".join(L.TEMPLATES["mit"][1][0].split()[:100])
+    (n, base, _), (m, _, more) = L.Index().scan([" mit license" * 200_000, (half + " zz ") * 500])
+    assert n == 400_000 and sum(map(len, base)) == 200_000 and m == 101 * 500 and len(more) == 500
+    assert time.monotonic() - began < 60
+
+
 def test_borders(monkeypatch):
     """An item of more words than a block, and phrases beside unbroken words, wherever the border falls."""
     monkeypatch.setattr(K, "BLOCK", 100)
@@ -162,7 +223,7 @@ def test_borders(monkeypatch):
         assert index.search(["x" * n + " " + item + " end " * 30]) == [{1: (1.0, 1 if n else 0)}]
         text = "y " + "x" * (n + 70) + " gnu general public license " + "z" * 300 + " mit license"
         own = base.scan([text])[0]
-        assert (own[0], len(own[1])) == base_labels(text)[:2]
+        assert (own[0], sum(map(len, own[1]))) == base_labels(text)[:2]
     seen = [int(v) for which, number, h in K.batches(["x" * 250 + " a b " + "y" * 250 + " c d"], 4) for v in number]
     assert sorted(set(seen)) == list(range(6))
 
@@ -196,52 +257,86 @@ def test_spans(sample, clashing, docs_of):
     for r in P.spans(sample).collect():
         told = ",".join(f"{P.KINDS[k]}:{a}:{b}" for k, a, b in plain_spans(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest() and r.spans.startswith(told)
-    rows = P.spans(clashing.drop("row", "base")).collect()
+    rows = P.spans(clashing).collect()
     assert len(rows) == 11 and {r.spans for r in rows} == {""}
     assert P.spans(docs_of([])).count() == 0
     assert P.sanitised(docs_of([])).count() == 0
 
 
 def disclosed(texts):
-    """The method by brute force, over distinct texts."""
+    """The method by brute force, over distinct texts: the terms, and whether they are removed."""
     from math import log
 
-    kinds = sorted(set(texts))
-    near = {t: {(e, w) for e, w, *_ in P.context(t, P.base_spans(t))} for t in kinds}
-    have = {t: {x.lower() for x in P.WORD.findall(t)} for t in kinds}
-    out = set()
-    for e, w in {p for own in near.values() for p in own}:
+    kinds = sorted({t or "" for t in texts})
+    near = {t: set(P.context(t, P.base_spans(t))) for t in kinds}
+    have = {t: {P.term(x) for x in P.WORD.findall(t) if len(x) >= P.LETTERS} for t in kinds}
+    out = {}
+    for e, w in {p for own in near.values() for p in own if p[1] is not None}:
         both = sum((e, w) in near[t] for t in kinds)
-        if both < P.SUPPORT:
-            continue
-        p_e = sum(any(x == e for x, _ in near[t]) for t in kinds) / (len(kinds) + 1)
-        given_ = min(1, both / sum(w in have[t] for t in kinds))
-        if 1 - log(given_) / log(p_e) >= P.GENERALISE:
-            out.add((e, w))
+        p_e = sum((e, None) in near[t] for t in kinds) / (len(kinds) + 1)
+        d = 1 - log(both / (sum(w in have[t] for t in kinds) + P.DOUBT)) / log(p_e)
+        if d >= P.GENERALISE:
+            out[w] = out.get(w, False) or d >= P.REMOVE
     return out
 
 
-def test_disclosure(docs_of):
-    noise = [f"plain words number{chr(97 + i)} of the village elder" for i in range(26)]
-    told = [f"the zorblatt village elder wrote {x} to kim@a.example near the harbour" for x in ("one", "two", "three", "four")]
-    texts = [*noise, *told, told[0], "unrelated the the", "write to pat@b.example today"]
+def test_context():
+    """Words of any length, in any distance by characters, and none that a span holds or cuts."""
+    long = "x" * 300
+    near = lambda t: [w for _, w in P.context(t, P.base_spans(t)) if w is not None]
+    assert near(f"one two {long} kim@a.b {long} informationalisation") == 2 * [P.term(w) for w in ("one", "two", long, long, "informationalisation")]
+    assert near("a@b.c " + " " * 500 + "far é1.2.3.4") == 2 * [P.term("far")] + [P.term("far")]
+    many = " ".join(f"user{i}@mail.example word{i}" for i in range(3000))
+    assert len(near(many)) > 3000 and P.outside([(1, 0, 4), (2, 9, 12)], [(0, 3, 6)]) == [(2, 9, 12)]
+
+
+def test_disclosure(docs_of, monkeypatch):
+    noise = [f"plain words number{chr(97 + i % 26)}{chr(97 + i // 26)} of the village elder" for i in range(260)]
+    told = [f"the zorblatt village elder wrote {x} to kim@a.example near the harbour" for x in (f"w{i}" for i in range(30))]
+    told += [f"quoth {x} kai@c.example" for x in ("one", "two", "three", "four")]
+    texts = [*noise, *told, told[0], "unrelated the the", "write to pat@b.example today", "the zorblatt again without anyone", "Zorblatt", None]
     want = disclosed(texts)
-    e = P.entity(0, "kim@a.example")
-    assert (e, "wrote") in want and (e, "the") not in want
-    got = {}
-    for r in P.spans(docs_of(texts)).collect():
-        t = texts[r.doc_id]
-        got[t] = {t[int(a) : int(b)].lower() for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"}
-    for t in texts:
-        assert got[t] == {w for own, w, *_ in P.context(t, P.base_spans(t)) if (own, w) in want}
+    assert P.term("wrote") in want and P.term("the") not in want and P.term("zorblatt") not in want
+    assert want[P.term("harbour")] and not want[P.term("quoth")]
+    got = P.spans(docs_of(texts)).collect()
+    for r in got:
+        t = texts[r.doc_id] or ""
+        spans = [(m.start(), m.end()) for m in P.WORD.finditer(t) if len(m[0]) >= P.LETTERS and P.term(m[0]) in want and not any(a < m.end() and m.start() < b for _, a, b in P.base_spans(t))]
+        assert [f"term:{a}:{b}" for a, b in spans] == [x for x in r.spans.split(",") if x.startswith("term")] and r.n_term == len(spans)
     clean = {r.doc_id: r for r in P.sanitised(docs_of(texts)).collect()}
-    assert "kim@" not in clean[26].text and "[EMAIL]" in clean[26].text and "wrote" not in clean[26].text and clean[0].text == texts[0]
-    assert all(r.n_chars == len(r.text) for r in clean.values())
+    assert "kim@" not in clean[260].text and "[EMAIL]" in clean[260].text and "wrote" not in clean[260].text and clean[0].text == texts[0]
+    assert clean[290].text == "[TERM] one [EMAIL]"
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in clean.values())
+    monkeypatch.setattr(P, "MOST_BITS", 1 << 12)  # a filter that lets nearly every word through changes nothing
+    monkeypatch.setattr(P, "BITS", 1)
+    key = lambda rows: sorted(map(tuple, rows), key=str)
+    assert key(P.spans(docs_of(texts)).collect()) == key(got)
+
+
+def test_planted_terms(spark):
+    """Names planted beside addresses, and elsewhere without them, in a whole table: found, and little else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    names = [f"Qu{chr(97 + i)}zzin" for i in range(20)]
+    for i, x in enumerate(names):
+        rows += [(10**6 + 10 * i + k, f"{rows[7 * i + k][1][:300]} asked {x} at {x.lower()}@own.example for more") for k in range(4)]
+        rows.append((2 * 10**6 + i, f"{rows[9 * i][1][:200]} and {x} was there"))
+    got = P.spans(spark.createDataFrame(rows, "doc_id long, text string")).where("n_term > 0").collect()
+    texts = dict(rows)
+    terms = [(r.doc_id, texts[r.doc_id][int(a) : int(b)]) for r in got for k, a, b in (x.split(":") for x in r.spans.split(",")) if k == "term"]
+    hit = [t for t in terms if t[1] in names]
+    alone = {d for d, _ in hit if d >= 2 * 10**6}
+    assert len(hit) == 5 * len(names) and len(alone) == len(names)  # recall 1, also where no address stands
+    # what else is flagged is as rare as the address beside it, or of the planted sentence itself
+    others = {t.lower() for _, t in terms} - {x.lower() for x in names} - {"asked", "for", "more"}
+    held = Counter(w for t in set(texts.values()) for w in {x.lower() for x in P.WORD.findall(t or "")})
+    assert len(others) > 50 and all(held[w] <= 2 for w in others)
 
 
 def test_redact(clashing):
     assert P.redact("a 1.2.3.4 b", "ip:2:9", None) == "a [IP] b"
     assert P.redact("word x y", "", [{"a": 0, "b": 4, "removed": True}, {"a": 5, "b": 6, "removed": False}]) == " [TERM] y"
+    assert P.redact("Kim ABC x", "", [{"a": 0, "b": 3, "removed": False}, {"a": 4, "b": 7, "removed": False}]) == "[NAME] [CODE] x"
     assert P.redact("abcdef", "card:1:4,phone:2:5", None) == "a[CARD]f"
-    kept = P.sanitised(clashing.drop("row", "base"))
-    assert kept.count() == 11 and kept.where("text IS NULL").count() == 2
+    kept = P.sanitised(clashing)
+    assert kept.columns == clashing.columns and kept.count() == 11 and kept.toDF(*(f"c{i}" for i in range(len(kept.columns)))).where("c1 IS NULL").count() == 2
