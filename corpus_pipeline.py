@@ -19,27 +19,29 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier scores below one half."""
+    """Rows that the classifier scores below one half. Equal texts go or stay together; null and empty texts score 0 and
+    stay; without labels of both classes nothing is known, and all rows stay."""
     return subword.below(docs, subword.toxicity(docs, table(spark, sf_dir, "labels")), cut=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share 0.8 of their five-word shingles the row with the smallest doc_id."""
+    """Of each group of texts that share 0.8 of their five-word shingles the row with the smallest doc_id. Texts without
+    words, null or not, are one group; equal rows count once; rows without doc_id stay."""
     return copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark passage."""
+    """Rows that hold no benchmark passage; null and empty texts hold none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row, with personal data and what discloses it redacted."""
+    """Every row, with personal data and what discloses it redacted; a null text stays null."""
     return privacy.sanitised(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows in sequences."""
+    """The pieces of all rows in sequences; a null text has its end token alone."""
     return packing.pack(docs)
 
 
