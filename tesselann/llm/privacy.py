@@ -148,18 +148,20 @@ def bloom(terms: DataFrame) -> bytes:
     return bits.astype("<i8").tobytes()
 
 
-def passing(words: list[tuple[str, int, int]], own: bytes, names: dict[str, int]) -> list[tuple[int, int, int]]:
-    """``(term, start, end)`` of those words that the filter lets through; ``names`` keeps hashes already taken."""
-    out, last = [], 8 * len(own) - 1
-    for w, a, b in words:
-        if b - a >= LETTERS:
-            if (t := names.get(w)) is None:
-                t = term(w)
-                if len(names) < 200_000:
-                    names[w] = t
-            if own[(t & last) >> 3] >> (t & 7) & 1:
-                out.append((t, a, b))
-    return out
+class Sieve(dict):
+    """The hash of each word that the filter ``own`` lets through, None for others; remembers words already met."""
+
+    def __init__(self, own: bytes, most: int = 100_000):
+        super().__init__()
+        self.own, self.last, self.most = own, 8 * len(own) - 1, most
+
+    def __missing__(self, word: str) -> int | None:
+        t = term(word) if len(word) >= LETTERS else None
+        if t is not None and not self.own[(t & self.last) >> 3] >> (t & 7) & 1:
+            t = None
+        if len(self) < self.most:
+            self[word] = t
+        return t
 
 
 def counted(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -167,11 +169,11 @@ def counted(texts: DataFrame, terms: DataFrame) -> DataFrame:
     told = texts.sparkSession.sparkContext.broadcast(bloom(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
+        sieve = Sieve(told.value)
         for b in batches:
             t, h = [], []
             for text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                have = {x for x, *_ in passing([(w, 0, len(w)) for w in set(WORD.findall(text or ""))], told.value, names)}
+                have = {sieve[w] for w in set(WORD.findall(text or ""))} - {None}
                 t += have
                 h += [key] * len(have)
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(h, pa.int64())], ["t", "th"])
@@ -212,13 +214,14 @@ def found(rows: DataFrame, at: int, terms: DataFrame) -> DataFrame:
     names = [*rows.columns, *StructType.fromDDL(FOUND).names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, seen = TaskContext.get().partitionId() << 33, {}
+        row, sieve = TaskContext.get().partitionId() << 33, Sieve(told.value)
         for b in batches:
             out = []
             for text in b.column(at).to_pylist():
                 spans = base_spans(text or "")
-                hits = passing([(m[0], *m.span()) for m in WORD.finditer(text or "")], told.value, seen)
-                hits = outside(hits, spans) if hits and spans else hits
+                hits = []
+                if any(sieve[w] is not None for w in set(WORD.findall(text or ""))):
+                    hits = outside([(t, *m.span()) for m in WORD.finditer(text) if (t := sieve[m[0]]) is not None], spans)
                 count = [sum(s[0] == k for s in spans) for k in range(4)]
                 out.append((row, *count, ",".join(f"{KINDS[k]}:{s}:{t}" for k, s, t in spans), [dict(zip("tab", x, strict=True)) for x in hits]))
                 row += 1
