@@ -6,6 +6,8 @@ of a union is the bottom K of the sketches' union. They estimate resemblance, co
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,28 +71,43 @@ def merged(sketches: DataFrame, by: list[str], k: int = K) -> DataFrame:
     return low.groupBy(*by).agg(F.sort_array(F.collect_list("h")).alias("sketch"))
 
 
-def dealt(rows: DataFrame, key: str, parts: int) -> DataFrame:
-    """``rows`` with ``part int`` and ``ghost boolean``: contiguous ranges of ``key``, and at the end of each range, as
-    ghosts, a copy of the rows that the next lower range begins with in descending order (of the lowest, the highest)."""
+def dealt(rows: DataFrame, key: str, parts: int, tie: Column) -> DataFrame:
+    """``rows`` with ``part int`` and ``ghost boolean``: contiguous ranges of ``key``, those of a key that fills several
+    cut again by ``tie``, a hash. Rows go by descending key, then ascending tie; at the end of each range are, as ghosts,
+    copies of the rows that the next range begins with (of the last, the first)."""
     steps = [i / parts for i in range(1, parts)]
     told = rows.agg(F.percentile_approx(key, steps, 10_000) if steps else F.lit([0])).first()
-    bounds = sorted(set(told[0] or []))
+    times = Counter(told[0] or [])
+    bounds = sorted(times)
     side = max(1, int(len(bounds) ** 0.5))
     fine = [bounds[i : i + side] for i in range(0, len(bounds), side)] or [[]]
     coarse, typed = F.lit([x[-1] for x in fine[:-1]] or [2**63 - 1]), "array<array<bigint>>"
     row = F.size(F.filter(coarse, lambda b: b < F.col(key)))
     inner = F.size(F.filter(F.get(F.array(*(F.lit(x) if x else F.array() for x in fine)).cast(typed), row), lambda b: b < F.col(key)))
-    placed = rows.withColumn("part", (row * side + inner).cast("int"))
-    # at most `parts` rows: the highest key of each range
-    heads = sorted((x.part, x.head) for x in placed.groupBy("part").agg(F.max(key).alias("head")).collect())
-    size = max([0, *(p for p, _ in heads)]) + 1
-    head, above = [None] * size, [None] * size
-    for i, (p, h) in enumerate(heads):
-        head[p], above[p] = h, heads[(i + 1) % len(heads)][0]
-    pick = lambda xs, kind: F.get(F.array(*(F.lit(x) for x in xs)).cast(f"array<{kind}>"), F.col("part"))
-    copy = F.when(F.col(key) == pick(head, "bigint"), F.struct(pick(above, "int").alias("part"), F.lit(True).alias("ghost")))
-    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost"))
-    return placed.withColumn("to", F.explode(F.array_compact(F.array(own, copy)))).withColumn("part", F.col("to.part")).withColumn("ghost", F.col("to.ghost")).drop("to")
+    # a key that is a bound more than once has that many ranges of its own, above the rest of its range
+    own = [times[b] if times[b] > 1 else 0 for b in bounds] + [0]
+    base = [0]
+    for n in own:
+        base.append(base[-1] + 1 + n)
+    at, hot = (row * side + inner).cast("int"), any(own)
+    pick = lambda xs, kind, i: F.get(F.array(*(F.lit(x) for x in xs)).cast(f"array<{kind}>"), i)
+    part = at
+    if hot:
+        turn = F.floor((tie.cast("double") + 2.0**63) / 2.0**64 * pick(own, "int", at)).cast("int")
+        mine = (F.col(key) == pick([*bounds, None], "bigint", at)) & (pick(own, "int", at) > 0)
+        part = pick(base, "int", at) + F.when(mine, pick(own, "int", at) - F.least(turn, pick(own, "int", at) - 1)).otherwise(0)
+    place = F.struct(F.col(key).alias("k"), (F.bitwise_not(tie) if hot else F.lit(0).cast("long")).alias("t"))
+    placed = rows.withColumn("part", part.cast("int")).withColumn("place", place)
+    # at most a row for each range: where it begins
+    heads = sorted((x.part, x.head.k, x.head.t) for x in placed.groupBy("part").agg(F.max("place").alias("head")).collect())
+    size = max([0, *(p for p, *_ in heads)]) + 1
+    head, first, above = [None] * size, [None] * size, [None] * size
+    for i, (p, k, t) in enumerate(heads):
+        head[p], first[p], above[p] = k, t, heads[(i + 1) % len(heads)][0]
+    begins = (F.col("place.k") == pick(head, "bigint", F.col("part"))) & (F.col("place.t") == pick(first, "bigint", F.col("part")))
+    copy = F.when(begins, F.struct(pick(above, "int", F.col("part")).alias("part"), F.lit(True).alias("ghost")))
+    stay = F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost"))
+    return placed.withColumn("to", F.explode(F.array_compact(F.array(stay, copy)))).withColumn("part", F.col("to.part")).withColumn("ghost", F.col("to.ghost")).drop("to", "place")
 
 
 def edited(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
@@ -99,13 +116,14 @@ def edited(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     The next document has the next lower doc_id, or after the last the highest. Null texts count as empty, null doc_ids
     as lowest; rows with equal doc_id are in order of a hash of their text. The edited text is the text with its last
     third of code points replaced by as many of the next one's first (or all). One row for each row; a single row is its
-    own next. Texts are dealt by ranges of doc_id once, and never meet in one task but for a range's.
+    own next. Texts are dealt by ranges of doc_id once, and never meet in one task but for a range's; many rows of one
+    doc_id, or without one, are dealt by ranges of that hash.
     """
     own = columns(docs, "doc_id", "text")
     own = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    rows = dealt(own, "key", min(4096, max(16, 4 * many))).repartition("part")
+    rows = dealt(own, "key", min(4096, max(16, 4 * many)), F.xxhash64("text")).repartition("part")
     rows = rows.withColumn("sketch", sketch(F.col("text"), k, width)).withColumn("tie", F.xxhash64("text"))
     order = W.partitionBy("part").orderBy("ghost", F.col("key").desc(), "tie")
     rows = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).where("NOT ghost")
