@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from os.path import commonprefix
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,13 +37,54 @@ def test_shards(spark, sample, clashing):
     assert all((r["size"], r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id].encode()) + 8, zlib.crc32(texts[r.doc_id].encode()), "rows", None) for r in rows)
     again = {tuple(r) for r in H.shards(sample.repartition(7), 24).collect()}
     assert again == {tuple(r) for r in rows}
-    odd = H.shards(clashing.drop("curve"), 4).collect()
+    odd = H.shards(clashing, 4).collect()
+    assert len(odd) == 11
     check_shards(odd, 4)
     assert sorted(r["size"] for r in odd if r.doc_id in (2, 3)) == [8, 8]
     assert H.shards(sample.where("doc_id < 0"), 4).count() == 0
     assert len(H.shards(sample.limit(2), 24).collect()) == 2
 
 
+def test_place_on_the_curve(sample):
+    """Recomputed row by row: categories by the cuts of their own order, counts by powers of two."""
+    rows = sample.collect()
+    cells = H.curve(3, H.BITS)
+
+    def places(values):
+        code = lambda v: int.from_bytes(v.encode()[same : same + 7].ljust(7, b"\0"), "big")
+        same = len(commonprefix([min(values).encode(), max(values).encode()]))
+        own = sorted(map(code, values))
+        # the smallest value that a share i / 16 of the rows doesn't exceed
+        cuts = sorted({own[max(0, -(-len(own) * i // 16) - 1)] for i in range(1, 16)})
+        return {v: sum(code(v) > c for c in cuts) * 15 // max(1, len(cuts)) for v in set(values)}
+
+    lang, source = places([r.lang for r in rows]), places([r.source for r in rows])
+    want = {r.doc_id: cells[lang[r.lang] | source[r.source] << 4 | min(15, (r.n_chars + 1).bit_length() - 1) << 8] for r in rows}
+    assert {r.doc_id: r.curve for r in H.shards(sample, 24).collect()} == want
+
+
+def test_hot_rows(spark, docs_of, monkeypatch):
+    """Very many equal rows, with and without doc_id, are dealt without gaps."""
+    monkeypatch.setattr(H, "EACH", 7)
+    docs = docs_of([(1, "same")] * 300 + [(None, "none")] * 200 + [(i, f"t{i}") for i in range(50)])
+    rows = H.shards(docs, 6).collect()
+    check_shards(rows, 6)
+    assert len(rows) == 550 and sum(r.doc_id == 1 for r in rows) == 301 and sum(r.doc_id is None for r in rows) == 200
+
+
+def test_pruning(spark):
+    """A filter on any dimension reads a part of the shards; of shards by hash it reads nearly all."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    dealt = H.shards(docs, 24)
+    share = lambda own, col, v: ((own[f"{col}_low"] <= v) & (v <= own[f"{col}_high"])).mean()
+    mean = lambda own, col: sum(share(own, col, r[0]) for r in kinds[col]) / len(kinds[col])
+    kinds = {c: docs.select(c).distinct().collect() for c in ("lang", "source")}
+    own = H.ranges(docs, dealt, "lang", "source", "n_chars").toPandas()
+    apart = H.ranges(docs, dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(24))), "lang", "source", "n_chars").toPandas()
+    assert mean(apart, "lang") > 0.99 and mean(apart, "source") > 0.99 and (apart.n_chars_high > 8000).mean() == 1
+    assert mean(own, "lang") < 0.6 and mean(own, "source") < 0.4 and (own.n_chars_high > 8000).mean() < 0.4
+
+
 def words(text):
     w = text.lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
@@ -78,7 +120,7 @@ def test_merged(spark):
 
 
 def test_odd(clashing, docs_of):
-    rows = B.edited(clashing.drop("curve")).collect()
+    rows = B.edited(clashing).collect()
     assert len(rows) == 11
     by = {}
     for r in rows:
@@ -87,3 +129,19 @@ def test_odd(clashing, docs_of):
     assert B.edited(docs_of([])).count() == 0
     one = B.edited(docs_of(["a b c d e f g h i"])).first()
     assert one.near_next == 1.0
+
+
+def test_hot_ids(docs_of):
+    """Many texts under one doc_id, and without one, are cut by their hash; each row's next is the next in order."""
+    rows = [(5, f"many words number {i} of one id") for i in range(300)] + [(None, f"no id at all {i}") for i in range(200)] + [(i, f"one text {i}") for i in range(6, 60)] + [(5, "twice"), (5, "twice")]
+    docs = docs_of(rows)
+    order = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).collect()
+    order.sort(key=lambda r: (-(r.doc_id if r.doc_id is not None else -(2**63)), r.tie))
+    want = []
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        k = len(a.text) // 3
+        want.append((a.doc_id, hashlib.sha256((a.text[: len(a.text) - k] + b.text[:k]).encode()).hexdigest()))
+    got = B.edited(docs)
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.edited_sha256)) for r in got.collect())
+    parts = B.dealt(docs.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))), "key", 16, F.xxhash64("text")).where("NOT ghost").groupBy("part").count().agg(F.max("count")).first()[0]
+    assert parts < 120

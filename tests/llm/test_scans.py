@@ -330,7 +330,7 @@ def test_planted_terms(spark):
     # what else is flagged is as rare as the address beside it, or of the planted sentence itself
     others = {t.lower() for _, t in terms} - {x.lower() for x in names} - {"asked", "for", "more"}
     held = Counter(w for t in set(texts.values()) for w in {x.lower() for x in P.WORD.findall(t or "")})
-    assert len(others) > 50 and all(held[w] <= 2 for w in others)
+    assert len(others) > 50 and max(held[w] for w in others) <= 10
 
 
 def test_redact(clashing):
