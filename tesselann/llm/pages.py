@@ -33,7 +33,8 @@ TAGS = ({"p", "blockquote", "pre"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"li
 SPLIT = 0.5
 
 
-def features(nodes: list[Node]) -> np.ndarray:
+def features(nodes: list[Node], tokens: bool = True) -> np.ndarray:
+    """A row for each node; without ``tokens``, what its attributes and its ancestors' are called is left out."""
     n = len(nodes)
     size, link, words, stops, count = ([getattr(x, k) if k else 1 for x in nodes] for k in ("own", "linked", "words", "stops", ""))
     for i in range(n - 1, 0, -1):
@@ -55,7 +56,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         around = max(1, size[x.parent if i else 0])
         rows.append([
             x.depth, np.log1p(x.own), np.log1p(size[i]), link[i] / max(1, size[i]), x.linked / max(1, x.own), np.log1p(words[i]), stops[i] / max(1, words[i]), size[i] / max(1, words[i]), np.log1p(count[i]), size[i] / total, x.before / total,
-            len(kin), same / len(kin), size[i] / around, link[x.parent if i else 0] / around, size[i] / count[i], *(x.tag in t for t in TAGS), *own, *marks[i],
+            len(kin), same / len(kin), size[i] / around, link[x.parent if i else 0] / around, size[i] / count[i], *(x.tag in t for t in TAGS), *([*own, *marks[i]] if tokens else ()),
         ])
     return np.array(rows, np.float64)
 
@@ -146,7 +147,7 @@ def drawn(rng: random.Random) -> tuple[str, set[str]]:
 
 
 @lru_cache
-def model(pages: int = 500, seed: int = 7) -> Boosted:
+def model(pages: int = 500, seed: int = 7, tokens: bool = True) -> Boosted:
     """The trees, learned from ``pages`` drawn pages."""
     rng = random.Random(seed)
     xs, ys, ws = [], [], []
@@ -163,15 +164,15 @@ def model(pages: int = 500, seed: int = 7) -> Boosted:
             main[nodes[i].parent] += main[i]
             rest[nodes[i].parent] += rest[i]
         have = main + rest > 0
-        xs.append(features(nodes)[have])
+        xs.append(features(nodes, tokens)[have])
         ys.append((main / np.maximum(1, main + rest))[have])
         ws.append(np.array([1.0 if x.own else 0.3 for x in nodes])[have])
     return Boosted().fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
 
 
-def main_texts(htmls: list[str | None], trees: Boosted) -> list[str]:
+def main_texts(htmls: list[str | None], trees: Boosted, tokens: bool = True) -> list[str]:
     read_ = [read(h or "") for h in htmls]
-    x = [features(nodes) for nodes, _ in read_]
+    x = [features(nodes, tokens) for nodes, _ in read_]
     logits = trees.logits(np.concatenate(x)) if x else np.zeros(0)
     out, at = [], 0
     for nodes, pieces in read_:

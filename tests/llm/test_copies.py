@@ -28,7 +28,7 @@ def kept_of(rows):
     return sorted(low.values())
 
 
-def test_near_copies(spark, sample, docs_of):
+def test_near_copies(spark, sample, docs_of, monkeypatch):
     """Copies with a few words changed, cut or added, beside the sample's own texts."""
     rng = np.random.default_rng(3)
     rows = [(r.doc_id, r.text) for r in sample.select("doc_id", "text").collect()]
@@ -39,8 +39,42 @@ def test_near_copies(spark, sample, docs_of):
             for k in rng.choice(len(x), int(rng.integers(1, max(2, len(x) // 40))), replace=False):
                 x[k] = f"new{rng.integers(10**9)}"
             rows.append((10**6 + len(rows), " ".join(x[int(rng.integers(0, 3)) :])))
-    got = sorted(r.doc_id for r in C.one_of_each(docs_of(rows)).collect())
-    assert got == kept_of(rows)
+    got = lambda: sorted(r.doc_id for r in C.one_of_each(docs_of(rows)).collect())
+    want = kept_of(rows)
+    assert got() == want
+    monkeypatch.setattr(C, "CHUNK", 400)  # buckets of many chunks
+    assert got() == want
+
+
+def test_large_buckets(docs_of, monkeypatch):
+    """A bucket whose leader is like few of the others: chains, pairs and single texts, over many chunks and blocks."""
+    monkeypatch.setattr(C, "CHUNK", 150)
+    monkeypatch.setattr(C, "bands", lambda s: np.zeros(1, np.int64) if len(s) else np.zeros(0, np.int64))
+    base, rows = [f"w{i}" for i in range(60)], []
+    for k in range(25):  # each is like the next, and unlike those after it
+        rows.append((100 + k, " ".join([f"c{i}" for i in range(k)] + base[k:])))
+    for k in range(20):
+        own = [f"p{k}x{i}" for i in range(40)]
+        rows += [(300 + 2 * k, " ".join(own)), (301 + 2 * k, " ".join([*own[:-1], "end"]))]
+    rows += [(500 + k, " ".join(f"s{k}x{i}" for i in range(30))) for k in range(15)]
+    assert sorted(r.doc_id for r in C.one_of_each(docs_of(rows)).collect()) == kept_of(rows)
+
+
+def test_linked_sets():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        pool = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+        sets = [np.unique(rng.choice(pool, int(rng.integers(40, 200)))) for _ in range(int(rng.integers(2, 30)))]
+        label = C.linked_sets(sets)
+        up = list(range(len(sets)))
+        find = lambda i: i if up[i] == i else find(up[i])
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                    a, b = sorted((find(i), find(j)))
+                    up[b] = a
+        assert label.tolist() == [find(i) for i in range(len(sets))]
 
 
 def test_odd_rows(clashing, docs_of):

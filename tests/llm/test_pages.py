@@ -1,6 +1,8 @@
 import random
 import re
+from itertools import product
 
+import numpy as np
 import pytest
 
 from tesselann.llm import pages as P
@@ -9,18 +11,62 @@ from tesselann.llm.dom import read
 MARK = re.compile(r"\bm\d+q\b")
 
 
-def test_held_out_pages():
-    rng, trees = random.Random(12345), P.model()
+def shares(pages, trees, tokens=True):
+    """Blocks of articles that are missed, and others that are taken, as shares of those found."""
     right = wrong = missed = 0
-    for _ in range(150):
-        html, marks = P.drawn(rng)
-        got, want = set(MARK.findall(P.main_texts([html], trees)[0])), marks & set(MARK.findall(html))
+    for html, marks in pages:
+        got, want = set(MARK.findall(P.main_texts([html], trees, tokens)[0])), marks & set(MARK.findall(html))
         right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
-    assert wrong < 0.03 * right and missed < 0.03 * right
+    return missed / right, wrong / right
+
+
+def test_held_out_pages():
+    rng = random.Random(12345)
+    pages = [P.drawn(rng) for _ in range(150)]
+    assert max(shares(pages, P.model())) < 0.03
+    # without the lists of attribute words: structure and statistics alone
+    assert max(shares(pages, P.model(tokens=False), False)) < 0.05
+
+
+def undrawn(rng, kind):
+    """A page in a layout that the grammar does not draw."""
+    n, marks = [0], set()
+
+    def text(many, main):
+        n[0] += 1
+        marks.update([f"m{n[0]}q"] if main else [])
+        return f"m{n[0]}q {P.words(rng, many)}"
+
+    items = "".join(f'<li><a href="/{i}">{text(2, False)}</a></li>' for i in range(7))
+    body = "".join(f"<p>{text(rng.choice((25, 50, 90)), True)}</p>" for _ in range(rng.randint(3, 9)))
+    head, foot = f"<h1>{text(6, True)}</h1>", text(7, False)
+    page = {
+        "table": f'<table><tr><td colspan=2><a href="/">{text(2, False)}</a></td></tr><tr><td><ul>{items}</ul></td><td>{head}{body}</td></tr><tr><td colspan=2>{foot}</td></tr></table>',
+        "sections": f'<section class="x1"><ul>{items}</ul></section><section class="x2">{head}{body}</section><section class="x3"><p>{foot}</p></section>',
+        "deep": f"<div><div><ul>{items}</ul></div><div><div><div><div>{head}{body}</div></div></div></div><div>{foot}</div></div>",
+        "role": f'<div role="navigation"><ul>{items}</ul></div><div role="main">{head}{body}</div><div role="contentinfo">{foot}</div>',
+        "quotes": f'<nav>{items}</nav><div class="post-body">{head}{body}<blockquote><p>{text(30, True)}</p></blockquote><figure><figcaption>{text(8, True)}</figcaption></figure>{body and f"<p>{text(40, True)}</p>"}</div><footer>{foot}</footer>',
+    }[kind]
+    return f"<html><body>{page}</body></html>", marks
+
+
+@pytest.mark.parametrize("kind", ["table", "sections", "deep", "role", "quotes"])
+def test_undrawn_layouts(kind):
+    rng = random.Random(3)
+    missed, wrong = shares([undrawn(rng, kind) for _ in range(40)], P.model())
+    # at most the one unmarked line below the article of each page is taken with it
+    assert missed < 0.1 and wrong < 0.15, (missed, wrong)
+
+
+def test_siblings():
+    """The share of like siblings counts all of them."""
+    for n in (3, 64, 300):
+        nodes, _ = read("<div>" + "<p>x</p>" * n + "<h2>y</h2></div>")
+        assert {round(float(r[12]), 9) for r, x in zip(P.features(nodes), nodes, strict=True) if x.tag == "p"} == {round(n / (n + 1), 9)}
 
 
 @pytest.mark.parametrize("html, text", [
-    ("<article><h1>T &amp; x</h1><p>one  two\n three<p><b>four<br>five</article>", "T & x\none two three\nfour\nfive"),
+    ("<article><h1>T &amp; x</h1><p>one  two\n three<p><b>four<br>five</article>", "T & x\none two three\nfour five"),
     ("<nav><ul><li><a href=/>menu one</a></li><li><a href=/b>two</a></li></ul></nav><article><p>text of some length, with words. And more.</p></article><footer>&copy; foot</footer>", "text of some length, with words. And more."),
     ("<article><script>var t='</p>';</script><p>a < b, 1<2 and so on, for a while.<!-- no --></p><style>p{}</style></article>", "a < b, 1<2 and so on, for a while."),
     ("", ""), ("<", ""), (None, ""), ("<article>", ""),
@@ -34,14 +80,50 @@ def test_broken(html):
     P.main_texts([html], P.model())
 
 
+def assignments(nodes, yes, no, weight, i):
+    """Every assignment of a subtree, with its likelihood: all in, all out, or its children apart."""
+    under = [i]
+    for k in under:
+        under += nodes[k].children
+    yield sum(yes[k] * weight[k] for k in under), dict.fromkeys(under, True)
+    yield sum(no[k] * weight[k] for k in under), dict.fromkeys(under, False)
+    if nodes[i].children:
+        for parts in product(*(list(assignments(nodes, yes, no, weight, k)) for k in nodes[i].children)):
+            own = {i: bool(yes[i] > no[i])}
+            for _, p in parts:
+                own |= p
+            yield max(yes[i], no[i]) * weight[i] * bool(nodes[i].own) + sum(v for v, _ in parts) - P.SPLIT, own
+
+
+def test_decodings():
+    """The likeliest of all assignments, by enumeration over small trees."""
+    rng = np.random.default_rng(5)
+    shapes = ["<div>a<p>b</p><p>c</p></div><ul><li>d</li><li></li></ul>", "<div><div><p>a</p></div><div><p>b</p>c</div></div>", "<p>x</p><p>y</p><p>z</p>"]
+    apart = 0
+    for _ in range(60):
+        nodes, _ = read(shapes[rng.integers(3)])
+        logit = rng.normal(0, 3, len(nodes))
+        yes, no = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
+        weight = [1.0 if x.own else 0.25 for x in nodes]
+        best = max(assignments(nodes, yes, no, weight, 0), key=lambda x: x[0])[1]
+        got = P.decoded(nodes, logit)
+        assert [best[i] for i in range(len(nodes))] == got.tolist()
+        apart += len(set(got.tolist())) > 1
+    assert apart > 10
+
+
 def test_consistent():
-    """No block of a subtree that is out as a whole is in, and the other way round."""
+    """Where a node and all below it are likelier in or out as a whole than apart, none below it differs."""
     rng = random.Random(5)
     for _ in range(30):
-        html, _ = P.drawn(rng)
-        nodes, _ = read(html)
+        nodes, _ = read(P.drawn(rng)[0])
+        for sign in (True, False):
+            logit = P.model().logits(P.features(nodes)) * 0.05 + (6 if sign else -6)
+            assert set(P.decoded(nodes, logit).tolist()) == {sign}
         chosen = P.decoded(nodes, P.model().logits(P.features(nodes)))
-        assert len(chosen) == len(nodes)
+        for x in nodes:
+            if x.tag == "ul" and x.children:  # a list goes as a whole, in or out
+                assert len({bool(chosen[k]) for k in x.children}) == 1
 
 
 def test_extract(spark):

@@ -108,6 +108,38 @@ def test_cut_passages():
     assert sum(k in own for own, k in zip(got, pairs, strict=True)) > 600
 
 
+def test_long_items():
+    """Items of more words than several blocks hold, in texts that begin, end or go on beyond them."""
+    rng = __import__("random").Random(9)
+    for n in (6_000, 9_000, 20_000, 40_000):
+        item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        index = D.Index([(1, " ".join(item)), (2, "some short item of words")])
+        edited = [x if i % 200 else "other" for i, x in enumerate(item)]
+        docs = [" ".join(item), " ".join(["pad"] * 70_000 + item), " ".join(edited + ["end"] * 9), " ".join(item[: n // 2])]
+        got = index.search(docs)
+        assert [sorted(x) for x in got] == [[1], [1], [1], []] and got[1][1] == (1.0, 70_000)
+        assert got[2][1][0] == pytest.approx(similar_at(edited, item))
+
+
+def similar_at(a, b):
+    """Weighted containment of b's shingles in a, word by word from the beginning."""
+    have = Counter(zip(*(a[i:] for i in range(5)), strict=False))
+    want = Counter(zip(*(b[i:] for i in range(5)), strict=False))
+    return sum((have & want).values()) / sum(want.values())
+
+
+def test_rows_alone(monkeypatch):
+    """What is found in a text does not depend on those beside it, nor on blocks."""
+    item = " ".join(f"w{i}" for i in range(40))
+    texts = ["", None, f"x {item} y", "mit license " * 9, "y" * 70_000 + " gnu general public license", L.TEMPLATES["isc"][1][1], f"z {item}", "a" * 200 + " b" * 300]
+    index, base = D.Index([(1, item)]), L.Index()
+    alone = [index.search([t])[0] for t in texts], [str(base.scan([t])) for t in texts]
+    assert index.search(texts) == alone[0] and [str([x]) for x in base.scan(texts)] == alone[1]
+    for size in (50, 333):
+        monkeypatch.setattr(K, "BLOCK", size)
+        assert index.search(texts[::-1])[::-1] == alone[0] and [str([x]) for x in base.scan(texts[::-1])][::-1] == alone[1]
+
+
 def test_contaminated(spark, sample, clashing, monkeypatch):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
