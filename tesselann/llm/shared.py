@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +14,17 @@ BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; in local mode without that setting, a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; in local mode without that setting, a temporary one, removed at the end."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told and sc.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="tesselann-"))
+    if not told:
+        told = tempfile.mkdtemp(prefix="tesselann-")
+        atexit.register(shutil.rmtree, told, True)
+    sc.setCheckpointDir(told)
     return sc.getCheckpointDir()
 
 
@@ -36,7 +41,8 @@ def few(df: DataFrame) -> DataFrame:
 
 
 def arrow(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session; a smaller bound that is set already stays."""
+    """Bound the Arrow batches of this session, from here on: plans are lazy, and read the setting when they run. A smaller
+    bound that is set already stays."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(key, None)
