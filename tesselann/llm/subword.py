@@ -114,8 +114,9 @@ class Subword:
             ids, n = np.nonzero(total)[0], total[total > 0]
         return ids.astype(np.int32), n.astype(np.int32)
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], passes: int = 6, rate: float = 0.5, seed: int = 0, batch: int = 1 << 15) -> Subword:
-        """Learned from bags; a bucket that fewer than the share ``common`` of them hold has the zero vector."""
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], passes: int = 4, finish: int = 40, rate: float = 0.5, seed: int = 0, batch: int = 1 << 15) -> Subword:
+        """Learned from bags; a bucket that fewer than the share ``common`` of them hold has the zero vector. After ``passes``
+        that take ``shrink`` off all vectors, those left learn on for ``finish`` more, by themselves."""
         rng = np.random.default_rng(seed)
         size, texts = 1 << self.bits, np.zeros(1 << self.bits, np.int64)
         for ids, _ in bags:
@@ -127,35 +128,46 @@ class Subword:
         ids = np.concatenate([np.zeros(0, np.int32), *(i for i, _ in kept)])
         share = np.concatenate([np.zeros(0, np.float32), *(n for _, n in kept)])
         del kept
-        first = np.cumsum(many) - many
         self.classes, self.bias = np.zeros((2, self.dims), np.float32), np.zeros(2, np.float32)
         self.classes[1] = rng.normal(0, 0.5, self.dims)
         self.classes[0] = -self.classes[1]
         seen = [np.full((size, self.dims), self.damp**2, np.float32), np.full((2, self.dims), 1e-8, np.float32), np.full(2, 1e-8, np.float32)]
-        batch = min(batch, max(2048, many.sum() // 40))  # few texts still make many steps
         y = np.array(labels, np.int64)
         weight = np.array([1.0, (np.bincount(y, minlength=2)[0] / max(1, y.sum())) ** self.balance])
         for turn in range(passes):
-            order = rng.permutation(len(bags))
-            for own in np.split(order, np.searchsorted(np.cumsum(many[order]), np.arange(batch, many.sum(), batch))):
-                own = own[many[own] > 0]
-                if len(own):
-                    at = np.arange(many[own].sum()) + np.repeat(first[own] - np.cumsum(many[own]) + many[own], many[own])
-                    self._step(ids[at], share[at], many[own], y[own], weight[y[own]], seen, rate * (1 - turn / passes))
+            self._pass(ids, share, many, y, weight, seen, rate * (1 - turn / passes), rng, batch)
             # what little a vector learned by chance is taken back
             norm = np.sqrt((self.vectors * self.vectors).sum(1, keepdims=True))
             self.vectors *= np.maximum(0, 1 - self.shrink / np.maximum(norm, 1e-9))
+        if self.shrink:
+            # the n-grams that are left learn on by themselves, with nothing taken back
+            left = self.vectors.any(1)[ids]
+            text = np.repeat(np.arange(len(many)), many)[left]
+            ids, share, many = ids[left], share[left], np.bincount(text, minlength=len(many))
+            for turn in range(finish):
+                self._pass(ids, share, many, y, weight, seen, rate * (1 - turn / finish), rng, batch)
         return self
 
+    def _pass(self, ids: np.ndarray, share: np.ndarray, many: np.ndarray, y: np.ndarray, weight: np.ndarray, seen: list, rate: float, rng: np.random.Generator, batch: int) -> None:
+        order, first = rng.permutation(len(many)), np.cumsum(many) - many
+        size = np.cumsum(many[order] + 1)  # a text without n-grams takes part too: it moves the bias
+        batch = min(batch, max(1, int(size[-1]) // 40))  # few texts still make many steps
+        for own in np.split(order, np.searchsorted(size, np.arange(batch, size[-1], batch))):
+            if len(own):
+                at = np.arange(many[own].sum()) + np.repeat(first[own] - np.cumsum(many[own]) + many[own], many[own])
+                self._step(ids[at], share[at], many[own], y[own], weight[y[own]], seen, rate)
+
     def _step(self, ids: np.ndarray, share: np.ndarray, many: np.ndarray, y: np.ndarray, weight: np.ndarray, seen: list, rate: float) -> None:
-        mean = np.add.reduceat(self.vectors[ids] * share[:, None], np.cumsum(many) - many)
+        mean, full = np.zeros((len(many), self.dims), np.float32), many > 0
+        if full.any():
+            mean[full] = np.add.reduceat(self.vectors[ids] * share[:, None], (np.cumsum(many) - many)[full])
         logit = mean @ self.classes.T + self.bias
         p = 1 / (1 + np.exp(-np.clip(logit[:, 1] - logit[:, 0], -30, 30)))
         g = ((p - y) * weight / weight.sum()).astype(np.float32)
         two = np.stack([-g, g], 1)
         order = np.argsort(ids, kind="stable")
         cuts = np.nonzero(np.diff(ids[order], prepend=-1))[0]
-        back = np.add.reduceat((np.repeat(two @ self.classes, many, axis=0) * share[:, None])[order], cuts)
+        back = np.add.reduceat((np.repeat(two @ self.classes, many, axis=0) * share[:, None])[order], cuts) if len(ids) else np.zeros((0, self.dims), np.float32)
         for value, sq, own, grad in ((self.vectors, seen[0], ids[order[cuts]], back), (self.classes, seen[1], slice(None), two.T @ mean), (self.bias, seen[2], slice(None), two.sum(0))):
             sq[own] += grad * grad
             value[own] -= rate * grad / np.sqrt(sq[own])

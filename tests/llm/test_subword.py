@@ -24,7 +24,7 @@ def plain_grams(model, text):
 @pytest.mark.parametrize("text", ["a", "ab cd", " x  yy zzz ", "It's UP, né 漢字!", "word " * 50])
 @pytest.mark.parametrize("model", [S.Subword(True, True), S.Subword(False, False, orders=(3, 4, 5))])
 def test_grams(text, model):
-    ids, word, begins = model.grams(text.encode())
+    ids, word, begins, _ = model.grams(text.encode())
     want = plain_grams(model, text)
     raw = bytes(32 if (S.MARKS if model.marks else S.BLANK)[c] else (int(S.LOWER[c]) if model.lower else c) for c in text.encode()).split()
     repeats = sum(a == b for a, b in zip(raw, raw[1:], strict=False)) * (len(model.orders) + 1)
