@@ -158,19 +158,17 @@ class Subword:
                 self._step(ids[at], share[at], many[own], y[own], weight[y[own]], seen, rate)
 
     def _step(self, ids: np.ndarray, share: np.ndarray, many: np.ndarray, y: np.ndarray, weight: np.ndarray, seen: list, rate: float) -> None:
-        mean, full = np.zeros((len(many), self.dims), np.float32), many > 0
-        if full.any():
-            mean[full] = np.add.reduceat(self.vectors[ids] * share[:, None], (np.cumsum(many) - many)[full])
-        logit = mean @ self.classes.T + self.bias
-        p = 1 / (1 + np.exp(-np.clip(logit[:, 1] - logit[:, 0], -30, 30)))
-        g = ((p - y) * weight / weight.sum()).astype(np.float32)
-        two = np.stack([-g, g], 1)
-        order = np.argsort(ids, kind="stable")
-        cuts = np.nonzero(np.diff(ids[order], prepend=-1))[0]
-        back = np.add.reduceat((np.repeat(two @ self.classes, many, axis=0) * share[:, None])[order], cuts) if len(ids) else np.zeros((0, self.dims), np.float32)
-        for value, sq, own, grad in ((self.vectors, seen[0], ids[order[cuts]], back), (self.classes, seen[1], slice(None), two.T @ mean), (self.bias, seen[2], slice(None), two.sum(0))):
-            sq[own] += grad * grad
-            value[own] -= rate * grad / np.sqrt(sq[own])
+        """One step on all parameters. Of two classes, the gradients of an average point along the difference of the class
+        vectors, so that one number a bucket, ``pull``, says how far."""
+        diff, text = self.classes[1] - self.classes[0], np.repeat(np.arange(len(many)), many)
+        logit = np.bincount(text, (self.vectors @ diff)[ids] * share, len(many)) + (self.bias[1] - self.bias[0])
+        g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weight / weight.sum()
+        pull = np.bincount(ids, g[text] * share, len(self.vectors)).astype(np.float32)
+        own = np.nonzero(pull)[0]
+        push, total = pull[own] @ self.vectors[own], np.float32(g.sum())
+        for value, sq, at, grad in ((self.vectors, seen[0], own, pull[own, None] * diff), (self.classes, seen[1], slice(None), np.stack([-push, push])), (self.bias, seen[2], slice(None), np.array([-total, total]))):
+            sq[at] += grad * grad
+            value[at] -= rate * grad / np.sqrt(sq[at])
 
     def light(self) -> Subword:
         """What scoring needs: one number for each bucket, and the bias."""

@@ -92,6 +92,39 @@ def made(n, seed):
     return rows
 
 
+def test_step():
+    """One step against finite differences of the softmax's loss over averages, for every parameter."""
+    rng = np.random.default_rng(3)
+    model = S.Subword(True, True, bits=4, dims=3)
+    model.vectors, model.classes, model.bias = (rng.normal(size=x) for x in ((16, 3), (2, 3), (2,)))
+    bags = [(np.array([1, 5, 9]), np.array([1, 2, 1])), (np.array([5, 7]), np.array([3, 1])), (np.array([], int), np.array([], int))]
+    y, weight = np.array([1, 0, 0]), np.array([2.0, 1.0, 1.0])
+
+    def loss():
+        out = 0.0
+        for (ids, n), label, w in zip(bags, y, weight, strict=True):
+            z = model.classes @ ((n / max(1, n.sum())) @ model.vectors[ids]) + model.bias
+            out += w * (np.log(np.exp(z).sum()) - z[label])
+        return out / weight.sum()
+
+    want = []
+    for a in (model.vectors, model.classes, model.bias):
+        grad = np.zeros_like(a)
+        for at in np.ndindex(a.shape):
+            old, found = a[at], []
+            for d in (1e-6, -1e-6):
+                a[at] = old + d
+                found.append(loss())
+            a[at] = old
+            grad[at] = (found[0] - found[1]) / 2e-6
+        want.append(grad)
+    before = [a.copy() for a in (model.vectors, model.classes, model.bias)]
+    seen = [np.full(a.shape, 1e6) for a in before]  # so much was seen that a step is the gradient over a thousand
+    model._step(np.concatenate([i for i, _ in bags]), np.concatenate([n / max(1, n.sum()) for _, n in bags]), np.array([3, 2, 0]), y, weight, seen, 1.0)
+    for a, b, g in zip((model.vectors, model.classes, model.bias), before, want, strict=True):
+        assert np.allclose((b - a) * 1000, g, atol=1e-5)
+
+
 def test_unseen_misspellings():
     train, test = made(800, 1), made(200, 2)
     model = S.Subword(True, True, balance=0.0, shrink=0.2, bits=14)
