@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .filters import all_within, bloom
 from .kernels import mixed
 from .shared import arrow, few, kept, numbered
 from .simhash import linked, majority
@@ -130,7 +131,7 @@ def groups(own: DataFrame, prints: DataFrame) -> DataFrame:
     """``(low struct<doc_id, th>, root)`` for each distinct set of ``prints (doc_id, th, s, n, fp, keys)``: its first row
     and its component; ``own (doc_id, th, text)`` are the texts."""
     # the first row of each distinct set stands for it
-    first = prints.groupBy("s").agg(F.min(F.struct("doc_id", "th")).alias("low"), *(F.first(c).alias(c) for c in ("n", "fp", "keys")))
+    first = prints.groupBy("s").agg(F.min(F.struct("doc_id", "th")).alias("low"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "keys")))
     sets = few(first)
     trees = linked(few(sets.where("s <> 0").select("fp").distinct()), RADIUS)
     near = sets.where("s <> 0").join(trees, F.col("fp") == F.col("node"), "left")
@@ -141,14 +142,22 @@ def groups(own: DataFrame, prints: DataFrame) -> DataFrame:
     buckets = few(buckets.select("key", "lead", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
     members = few(keys.select("s", "n", "key").join(buckets, "key"))
 
+    # only texts that are in a bucket leave their task, as their shingles
+    wanted = few(members.select("s").distinct().join(sets, "s").select(F.xxhash64("low.doc_id", "low.th").alias("t"), "s", "low.doc_id", "low.th"))
+    told = own.sparkSession.sparkContext.broadcast(bloom(wanted.select("t")))
+
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.frombuffer(told.value, np.uint8), set()
         for b in batches:
-            found = pa.array([np.unique(shingle_hashes(x)).view(np.int64) for x in b.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), found], ["s", "shingles"])
-
-    wanted = members.select("s").distinct().join(sets, "s").select("s", "low.doc_id", "low.th")
-    texts = own.join(wanted, ["doc_id", "th"]).select("s", "text").dropDuplicates(["s"])
-    shingles = kept(texts.mapInArrow(shingled, "s long, shingles array<long>"))
+            t = b.column(0).to_numpy()
+            at = [i for i in np.nonzero(all_within(t, bits))[0].tolist() if (k := int(t[i])) not in seen and not seen.add(k)]
+            own = b.take(pa.array(at, pa.int64()))
+            found = pa.array([np.unique(shingle_hashes(x)).view(np.int64) for x in own.column(3).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns[1:3], found], ["doc_id", "th", "shingles"])
+
+    marked = own.select(F.xxhash64("doc_id", "th").alias("t"), "doc_id", "th", "text")
+    found = marked.mapInArrow(shingled, "doc_id long, th long, shingles array<long>").join(wanted, ["doc_id", "th"])
+    shingles = kept(found.select("s", "shingles").dropDuplicates(["s"]))
     chunk = F.pmod(F.xxhash64("s"), F.col("chunks")).cast("int")
     # a leader is in every chunk of its bucket
     spots = F.when(F.col("s") == F.col("lead"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .filters import bloom, within
 from .shared import arrow, columns, few, kept, numbered, shared_dir
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,9 +35,6 @@ NEAR, LETTERS = 5, 3
 #: Texts added to those that have a term without the entity.
 DOUBT = 1.0
 GENERALISE, REMOVE = 0.9, 0.97
-#: Bits a term in the filter that the corpus's words pass first, and the most bits that the filter has; beyond about four
-#: million terms more words pass that are no terms, and the join that follows drops these.
-BITS, MOST_BITS = 16, 1 << 26
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -137,27 +135,16 @@ def neighbours(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "th long, near array<struct<e: long, t: long>>")
 
 
-def bloom(terms: DataFrame) -> bytes:
-    """A filter of the hashes ``terms (t)``, a bit a slot; the driver gets one number for each 64 bits of it, at most."""
-    many = max(1, terms.count())
-    size = min(MOST_BITS, max(1 << 12, 1 << (BITS * many - 1).bit_length()))
-    words = terms.select(F.expr(f"pmod(t, {size}L) div 64").alias("w"), F.expr("shiftleft(1L, int(pmod(t, 64)))").alias("m"))
-    found = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    bits = np.zeros(size // 64, np.int64)
-    bits[found.column("w").to_numpy()] = found.column("m").to_numpy()
-    return bits.astype("<i8").tobytes()
-
-
 class Sieve(dict):
     """The hash of each word that the filter ``own`` lets through, None for others; remembers words already met."""
 
     def __init__(self, own: bytes, most: int = 100_000):
         super().__init__()
-        self.own, self.last, self.most = own, 8 * len(own) - 1, most
+        self.own, self.most = own, most
 
     def __missing__(self, word: str) -> int | None:
         t = term(word) if len(word) >= LETTERS else None
-        if t is not None and not self.own[(t & self.last) >> 3] >> (t & 7) & 1:
+        if t is not None and not within(t, self.own):
             t = None
         if len(self) < self.most:
             self[word] = t

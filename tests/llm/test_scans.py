@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesselann.llm import decontaminate as D
+from tesselann.llm import filters
 from tesselann.llm import kernels as K
 from tesselann.llm import licenses as L
 from tesselann.llm import privacy as P
@@ -312,6 +313,17 @@ def disclosed(texts):
     return out
 
 
+def test_filter(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    own, other = rng.integers(-(2**63), 2**63 - 1, 3000), rng.integers(-(2**63), 2**63 - 1, 20_000)
+    bits = filters.bloom(spark.createDataFrame([(int(x),) for x in own], "t long"))
+    assert all(filters.within(int(x), bits) for x in own) and filters.all_within(own, np.frombuffer(bits, np.uint8)).all()
+    passed = filters.all_within(other, np.frombuffer(bits, np.uint8))
+    assert passed.sum() < 20 and [filters.within(int(x), bits) for x in other] == passed.tolist()
+
+
 def test_context():
     """Words of any length, in any distance by characters, and none that a span holds or cuts."""
     long = "x" * 300
@@ -339,8 +351,8 @@ def test_disclosure(docs_of, monkeypatch):
     assert "kim@" not in clean[260].text and "[EMAIL]" in clean[260].text and "wrote" not in clean[260].text and clean[0].text == texts[0]
     assert clean[290].text == "[TERM] one [EMAIL]"
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in clean.values())
-    monkeypatch.setattr(P, "MOST_BITS", 1 << 12)  # a filter that lets nearly every word through changes nothing
-    monkeypatch.setattr(P, "BITS", 1)
+    monkeypatch.setattr(filters, "MOST_BITS", 1 << 6)  # a filter that lets nearly every word through changes nothing
+    monkeypatch.setattr(filters, "BITS", 1)
     key = lambda rows: sorted(map(tuple, rows), key=str)
     assert key(P.spans(docs_of(texts)).collect()) == key(got)
 
