@@ -8,7 +8,7 @@ number a bucket: the difference of the class scores. A score depends on its own
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -114,20 +114,22 @@ class Subword:
             ids, n = np.nonzero(total)[0], total[total > 0]
         return ids.astype(np.int32), n.astype(np.int32)
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], passes: int = 4, finish: int = 40, rate: float = 0.5, seed: int = 0, batch: int = 1 << 15) -> Subword:
+    def fit(self, bags: Collection[tuple[np.ndarray, np.ndarray]], labels: list[int], passes: int = 4, finish: int = 40, rate: float = 0.5, seed: int = 0, batch: int = 1 << 15) -> Subword:
         """Learned from bags; a bucket that fewer than the share ``common`` of them hold has the zero vector. After ``passes``
-        that take ``shrink`` off all vectors, those left learn on for ``finish`` more, by themselves."""
+        that take ``shrink`` off all vectors, those left learn on for ``finish`` more, by themselves. Bags are gone through twice, and need not be held."""
         rng = np.random.default_rng(seed)
         size, texts = 1 << self.bits, np.zeros(1 << self.bits, np.int64)
-        for ids, _ in bags:
-            texts[ids] += 1
+        for own, _ in bags:
+            texts[own] += 1
         common = texts >= max(1, self.common * len(bags))
         self.vectors = (rng.uniform(-self.start, self.start, (size, self.dims)) * common[:, None]).astype(np.float32)
-        kept = [(ids[common[ids]], (n / max(1, n.sum())).astype(np.float32)[common[ids]]) for ids, n in bags]
-        many = np.array([len(i) for i, _ in kept], np.int64)
-        ids = np.concatenate([np.zeros(0, np.int32), *(i for i, _ in kept)])
-        share = np.concatenate([np.zeros(0, np.float32), *(n for _, n in kept)])
-        del kept
+        ids, share = np.empty(texts[common].sum(), np.int32), np.empty(texts[common].sum(), np.float32)
+        many, at = np.zeros(len(bags), np.int64), 0
+        for k, (own, n) in enumerate(bags):
+            keep = common[own]
+            many[k] = keep.sum()
+            ids[at : at + many[k]], share[at : at + many[k]] = own[keep], n[keep] / max(1, n.sum())
+            at += many[k]
         self.classes, self.bias = np.zeros((2, self.dims), np.float32), np.zeros(2, np.float32)
         self.classes[1] = rng.normal(0, 0.5, self.dims)
         self.classes[0] = -self.classes[1]
@@ -142,8 +144,8 @@ class Subword:
         if self.shrink:
             # the n-grams that are left learn on by themselves, with nothing taken back
             left = self.vectors.any(1)[ids]
-            text = np.repeat(np.arange(len(many)), many)[left]
-            ids, share, many = ids[left], share[left], np.bincount(text, minlength=len(many))
+            ends = np.cumsum(many)
+            ids, share, many = ids[left], share[left], np.array([left[b - n : b].sum() for b, n in zip(ends, many, strict=True)], np.int64)
             for turn in range(finish):
                 self._pass(ids, share, many, y, weight, seen, rate * (1 - turn / finish), rng, batch)
         return self
@@ -241,9 +243,24 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, model: Subword, sample
         model.vectors, model.classes = np.zeros((1 << model.bits, model.dims), np.float32), np.zeros((2, model.dims), np.float32)
         model.bias = np.zeros(2, np.float32)
         return model
-    text, ids, n = (found.column(c) for c in ("text", "ids", "n"))
-    bag = lambda k: (ids[k].values.to_numpy(), n[k].values.to_numpy()) if ids[k].is_valid else model.bag(text[k].as_py())
-    return model.fit([bag(k) for k in order.tolist()], ys)
+    return model.fit(Bags(model, found, order.tolist()), ys)
+
+
+class Bags(Collection):
+    """The bags of the rows ``order`` of a table, made as they are asked for."""
+
+    def __init__(self, model: Subword, found: pa.Table, order: list[int]):
+        self.model, self.order, (self.text, self.ids, self.n) = model, order, (found.column(c) for c in ("text", "ids", "n"))
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __contains__(self, x: object) -> bool:
+        return False
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in self.order:
+            yield (self.ids[k].values.to_numpy(), self.n[k].values.to_numpy()) if self.ids[k].is_valid else self.model.bag(self.text[k].as_py())
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> Subword:
