@@ -23,8 +23,18 @@ def rerank_expression(candidates: DataFrame, vectors: DataFrame, queries: DataFr
     return ranked(rows.select("qid", "item", score("qvec", "vec", metric, plain_norm).alias("score")), k)
 
 
-def scored(ids: np.ndarray, q: np.ndarray, b: pa.RecordBatch, metric: Metric) -> pa.RecordBatch:
-    """The scores of a batch ``(item, vec, qids[, norm])`` against the queries ``ids``, ``q``."""
+def scored(ids: np.ndarray, q: np.ndarray, b: pa.RecordBatch, metric: Metric) -> Iterator[pa.RecordBatch]:
+    """The scores of a batch ``(item, vec, qids[, norm])`` against the queries ``ids``, ``q``; so many rows at once that
+    ``PAIRS`` pairs are held, or one row with all of its queries."""
+    ends = np.cumsum(b.column("qids").value_lengths().to_numpy())
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + knn.PAIRS, "right")))
+        yield pairs_scored(ids, q, b.slice(lo, hi - lo), metric)
+        lo = hi
+
+
+def pairs_scored(ids: np.ndarray, q: np.ndarray, b: pa.RecordBatch, metric: Metric) -> pa.RecordBatch:
     x, want = matrix(b.column("vec")), b.column("qids")
     row = np.repeat(np.arange(b.num_rows), want.value_lengths().to_numpy())
     qid = want.flatten().to_numpy()
@@ -58,7 +68,7 @@ def rerank(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    yield scored(*told.value, b, metric)
+                    yield from scored(*told.value, b, metric)
 
         return ranked(rows.select("item", "vec", "qids", *extra).mapInArrow(run, schema), k)
     # as many parts a block as give every shuffle partition one
@@ -83,8 +93,7 @@ def rerank(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int
                     continue
                 if len(ids) > 1:
                     ids, q = [np.concatenate(ids)], [np.concatenate(q)]
-                for at in range(0, b.num_rows, 1024):
-                    yield scored(ids[0], q[0], b.slice(at, 1024), metric)
+                yield from scored(ids[0], q[0], b, metric)
 
     return ranked(both.mapInArrow(blockwise, schema), k)
 

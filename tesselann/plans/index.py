@@ -14,6 +14,7 @@ from ..config import IndexConfig, Metric
 from ..operators import candidates as C
 from ..operators import model as M
 from ..operators import partition as P
+from ..operators import probed
 from ..operators.arrays import matrix
 from ..operators.knn import exact_knn
 from ..operators.rerank import rerank
@@ -123,5 +124,9 @@ class PartitionIndex:
         return C.candidates(hits, mf, self.config.repetitions, strict)
 
     def search(self, queries: DataFrame, vectors: DataFrame, topm: int = 10, mf: int = 2, k: int = 10, cap: int | None = None) -> DataFrame:
-        """``(qid, rk, item, score)``: a lazy plan from queries to ranked results."""
+        """``(qid, rk, item, score)``: a plan from queries to ranked results; in one pass over the items where that costs
+        less than a list of candidates, which a ``cap`` needs."""
+        c = self.config
+        if cap is None and probed.pays(topm if self.models else 1, c.buckets, c.repetitions):
+            return probed.search(lambda q: self.probes(q, topm), self.assignment, vectors, queries, k, self.metric, mf, c.buckets, c.repetitions)
         return rerank(self.candidates(queries, topm, mf, cap), vectors, queries, k, self.metric)

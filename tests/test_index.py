@@ -1,14 +1,16 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tesselann.config import IndexConfig, Metric
+from tesselann.operators import candidates as C
 from tesselann.operators import evaluate as E
 from tesselann.operators import model as M
 from tesselann.operators import partition as P
 from tesselann.operators.knn import exact_knn
 from tesselann.operators import knn
-from tesselann.operators.rerank import rerank
+from tesselann.operators.rerank import rerank, rerank_expression, scored
 from tesselann.operators.train import RATE, Trainer, assignments, ended, initial, loss, rounds, train, training_log
 from tesselann.plans.index import PartitionIndex
 from tesselann.sources.npy import NpySource
@@ -181,6 +183,44 @@ def test_rerank_in_blocks(vectors, index, metric, monkeypatch):
     assert plan() == many
 
 
+@pytest.mark.parametrize("metric", list(Metric))
+def test_search_lists_no_pairs(spark, vectors, metric, monkeypatch):
+    """The same rows as from a list of candidates, with copies, zero vectors, ids that come twice and several blocks."""
+    more = [vectors.where("item % 3 = 0").withColumn("item", F.col("item") + 1000), vectors.where("item IN (7, 40)").withColumn("vec", F.reverse("vec"))]
+    more += [vectors.where("item IN (11, 60)").select((F.col("item") + 2009).alias("item"), F.transform("vec", lambda x: x * 0).alias("vec"))]
+    v = vectors.unionByName(more[0]).unionByName(more[1]).unionByName(more[2]).cache()
+    q = v.where("item % 20 = 0")
+    config = IndexConfig("embeddings", 0, 2, 8, 3, 16)
+    models = [M.formula_weights(r, 64, 16, 8) for r in range(3)]
+    rows = lambda df: sorted(map(tuple, df.select("qid", "rk", "item").collect()))
+    for own, topm, mf in ((PartitionIndex.build(v, config, metric, models), 3, 2), (PartitionIndex.build(v, config, metric, models), 8, 1), (PartitionIndex.hashed(v, config, metric), 1, 2)):
+        want = rows(rerank_expression(own.candidates(q, topm, mf), v, q, 10, metric))
+        with monkeypatch.context() as m:
+            m.setattr(C, "probe", None)
+            assert len(want) > 100 and rows(own.search(q, v, topm, mf, 10)) == want
+            m.setattr(knn, "QUERIES", 16)
+            assert rows(own.search(q, v, topm, mf, 10)) == want
+    assert own.search(q.where("item < 0"), v, 1, 2, 10).count() == 0
+
+
+def test_pairs_held_at_once():
+    """An item that most queries want is scored in pieces; scores of copies are equal wherever they stand."""
+    rng = np.random.default_rng(0)
+    q, x, ids = rng.normal(size=(3000, 8)), rng.normal(size=(40, 8)), np.arange(3000)
+    b = pa.RecordBatch.from_arrays([pa.array(np.arange(40)), pa.array(list(x), pa.list_(pa.float64())), pa.array([ids] * 40, pa.list_(pa.int64()))], ["item", "vec", "qids"])
+    pieces = list(scored(ids, q, b, Metric.IP))
+    assert max(p.num_rows for p in pieces) <= knn.PAIRS
+    got = pa.Table.from_batches(pieces)
+    assert np.allclose(got.column("score").to_numpy().reshape(40, 3000), x @ q.T) and got.column("item").to_numpy().reshape(40, 3000)[:, 0].tolist() == list(range(40))
+    best = knn.Best(q, 5, Metric.COSINE)
+    for lo in range(0, 400, 70):
+        own = np.tile(x, (10, 1))[lo : lo + 70]
+        best.add(own, np.arange(400)[lo : lo + 70], knn.inner(own, own))
+    row, item, _ = best.held
+    order = np.lexsort((item, row))
+    assert (item[order].reshape(3000, 5) % 40 == item[order].reshape(3000, 5)[:, :1] % 40).all()
+
+
 def test_npy(spark, tmp_path):
     x = np.arange(50, dtype=np.float32).reshape(10, 5)
     np.save(tmp_path / "x.npy", x)
