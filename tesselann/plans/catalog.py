@@ -26,6 +26,7 @@ from .oracles import BUCKETS, DIMS, HASHED, HIDDEN, K, MF, ORACLES, R, TOP, TOPM
 __all__ = ["ORACLES", "QUERIES"]
 
 CONFIG = IndexConfig("embeddings", 0, K, BUCKETS, R, HIDDEN)
+BY_HASH = IndexConfig("embeddings", 0, 1, HASHED, R, HIDDEN)
 QUERIES: dict = {}
 
 
@@ -105,7 +106,7 @@ def knn(metric: Metric):
 def reranked(metric: Metric):
     def run(spark, sf_dir):
         v = scaled(embeddings(spark, sf_dir))
-        return top(rerank(C.candidates(hash_hits(v), MF, R), v, asked(v), TOP, metric))
+        return top(PartitionIndex.hashed(v, BY_HASH, metric).search(asked(v), v, 1, MF, TOP))
 
     run.__name__ = f"rerank_{metric.value}"
     return registered(run)

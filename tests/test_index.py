@@ -203,6 +203,13 @@ def test_search_lists_no_pairs(spark, vectors, metric, monkeypatch):
     assert own.search(q.where("item < 0"), v, 1, 2, 10).count() == 0
 
 
+def test_reranked_queries_list_no_pairs(spark, sf, monkeypatch):
+    from tesselann.plans.catalog import QUERIES
+
+    monkeypatch.setattr(C, "probe", None)
+    assert all(QUERIES[f"rerank_{m.value}"](spark, sf).count() == 250 for m in Metric)
+
+
 def test_pairs_held_at_once():
     """An item that most queries want is scored in pieces; scores of copies are equal wherever they stand."""
     rng = np.random.default_rng(0)
