@@ -151,23 +151,26 @@ class Sieve(dict):
         return t
 
 
-def counted(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(t, n)``: in how many distinct texts of ``texts (text, th)`` each of ``terms (t)`` stands."""
-    told = texts.sparkSession.sparkContext.broadcast(bloom(terms))
+def counted(texts: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
+    """``(t, n)``: in how many distinct texts of ``texts (text, th)`` each of ``terms (t)`` stands. ``copied (t)`` has the th
+    of all texts that come more than once: their terms meet by text, those of other texts are counted where they are read."""
+    told = texts.sparkSession.sparkContext.broadcast((bloom(terms), bloom(copied)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = Sieve(told.value)
+        own, again = told.value
+        sieve = Sieve(own)
         for b in batches:
             t, h = [], []
             for text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 have = {sieve[w] for w in set(WORD.findall(text or ""))} - {None}
                 t += have
-                h += [key] * len(have)
+                h += [key if within(key, again) else None] * len(have)
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(h, pa.int64())], ["t", "th"])
 
-    words = texts.mapInArrow(run, "t long, th long")
     # counted before the join, so that a frequent term is dealt out by its texts
-    return words.distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n")).join(terms, "t", "left_semi")
+    words = texts.mapInArrow(run, "t long, th long").groupBy("t", "th").agg(F.count(F.lit(1)).alias("n"))
+    one = F.when(F.col("th").isNull(), F.col("n")).otherwise(F.lit(1))
+    return words.groupBy("t").agg(F.sum(one).alias("n")).join(terms, "t", "left_semi")
 
 
 def disclosing(texts: DataFrame) -> DataFrame:
@@ -178,14 +181,15 @@ def disclosing(texts: DataFrame) -> DataFrame:
     pairs = seen.groupBy("e", "t").agg(F.count(F.lit(1)).alias("both"))
     held = near.where("t IS NULL").groupBy("e").agg(F.count(F.lit(1)).alias("texts"))
     least = seen.select("t", "th").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("least"))
-    total = rows.agg(F.count_distinct("th")).first()[0]
+    copied = few(rows.groupBy("th").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(F.col("th").alias("t"), "many"))
+    total = rows.count() - (copied.agg(F.sum(F.col("many") - 1)).first()[0] or 0)
 
     def disclosed(of: str):
         return 1 - F.log(F.col("both") / (F.col(of) + DOUBT)) / F.log(F.col("texts") / F.lit(float(total + 1)))
 
     # a term stands in at least the texts in which it is near any entity: most common words end here
     pairs = few(pairs.join(held, "e").join(least, "t").where(disclosed("least") >= GENERALISE))
-    whole = counted(texts, pairs.select("t").distinct())
+    whole = counted(texts, pairs.select("t").distinct(), copied.select("t"))
     told = pairs.join(whole, "t").withColumn("d", disclosed("n")).where(F.col("d") >= GENERALISE)
     return few(told.groupBy("t").agg((F.max("d") >= REMOVE).alias("removed")))
 

@@ -384,3 +384,24 @@ def test_redact(clashing):
     assert P.redact("abcdef", "card:1:4,phone:2:5", None) == "a[CARD]f"
     kept = P.sanitised(clashing)
     assert kept.columns == clashing.columns and kept.count() == 11 and kept.toDF(*(f"c{i}" for i in range(len(kept.columns)))).where("c1 IS NULL").count() == 2
+
+
+def test_terms_counted_where_read(spark):
+    """Copies count once, and only the terms of copied texts are dealt out by their texts."""
+
+    def shuffled() -> int:
+        sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+        none = sc._gateway.new_array(jvm.double, 0)
+        return sum(x.shuffleWriteRecords() for x in jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())))
+
+    words = [f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    single = [" ".join(words) + f" no{i}" for i in range(400)]
+    rows = [(x,) for x in [*single, *[" ".join(words[:20])] * 30, *[" ".join(words[10:30])] * 2, "", ""]]
+    texts = P.named(spark.createDataFrame(rows, "text string").repartition(3)).cache()
+    terms = spark.createDataFrame([(P.term(w),) for w in words], "t long")
+    copied = texts.groupBy("th").count().where("count > 1").select(F.col("th").alias("t")).cache()
+    assert texts.count() == 434 and copied.count() == 3
+    before = shuffled()
+    got = {r.t: r.n for r in P.counted(texts, terms, copied).collect()}
+    assert got == {P.term(w): 400 + (i < 20) + (10 <= i < 30) for i, w in enumerate(words)}
+    assert shuffled() - before < 2_000  # of 24,040 terms of distinct texts
