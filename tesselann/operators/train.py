@@ -123,7 +123,7 @@ def train(spark: SparkSession, config: IndexConfig, ids: np.ndarray, x: np.ndarr
                             ["r", "epoch", "layer", "shape", "data", "loss", "seconds"],
                         )
 
-    return spark.range(config.repetitions).repartition(config.repetitions, "id").mapInArrow(run, ROWS)
+    return spark.range(0, config.repetitions, numPartitions=config.repetitions).mapInArrow(run, ROWS)
 
 
 def ended(rows: DataFrame, epoch: int | None = None) -> tuple[int, list[dict[str, np.ndarray]]]:

@@ -228,6 +228,23 @@ def test_pairs_held_at_once():
     assert (item[order].reshape(3000, 5) % 40 == item[order].reshape(3000, 5)[:, :1] % 40).all()
 
 
+def test_training_sample_is_bounded(spark, vectors, monkeypatch):
+    """It learns from a part; every row is indexed."""
+    from tesselann.plans import catalog
+
+    seen = []
+    sample = M.sample_rows
+    monkeypatch.setattr(M, "sample_rows", lambda v, n, seed: seen.append(n) or sample(v, min(n, 60), seed))
+    own = catalog.trained(vectors)
+    assert seen == [20_000] and own.assignment.select("r", "item").distinct().count() == 200 * own.config.repetitions
+
+
+def test_a_task_for_each_repetition(spark):
+    rng = np.random.default_rng(0)
+    rows = train(spark, IndexConfig("embeddings", 5, 2, 4, 8, 4), np.arange(20), rng.normal(size=(20, 6)), rng.integers(0, 20, (20, 3)).astype(np.int32), 10)
+    assert rows.select("r", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().where("count = 1").count() == 8
+
+
 def test_npy(spark, tmp_path):
     x = np.arange(50, dtype=np.float32).reshape(10, 5)
     np.save(tmp_path / "x.npy", x)
